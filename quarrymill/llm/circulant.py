@@ -88,7 +88,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, lower: bool
     """
     docs = docs.select("doc_id", "text")
     sketched = stage(sketches(docs, k, lower, rows, bands), "sketches")
-    slack = 5 * (0.25 / (rows * bands)) ** 0.5
+    slack = 5 * (percent / 100 * (1 - percent / 100) / (rows * bands)) ** 0.5
     found = near_components(sketched, docs, percent, k, lower, slack)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 

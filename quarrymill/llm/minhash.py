@@ -148,7 +148,7 @@ def near_links(docs: DataFrame, percent: int = 80, k: int = 5, rows: int = 8, ba
 
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sketched = stage(docs.mapInArrow(run, "doc_id long, n_shingles long, key binary, bytes binary, bands array<long>"), "sketches")
-    return near_components(sketched, docs, percent, k, False, 5 * (0.25 / size) ** 0.5).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_components(sketched, docs, percent, k, False, 5 * (percent / 100 * (1 - percent / 100) / size) ** 0.5).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op1_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@
 doc_id, and only representatives are compared.
 
 1. Every bucket (one band value) links its members to one pivot, so a bucket of n members makes n - 1 candidates.
+   The pivot is the member that meets the most others over all its buckets: in a group of edited copies, the
+   text in their middle, which links them all.
 2. Candidates are verified on whole shingle sets. The pivot's set goes once to each block of its members.
 3. Two members of a bucket that no verified link connects by now may still be similar to each other. They are
    compared by their signature bytes, and those that can reach the threshold are verified too.
@@ -79,29 +81,36 @@ def near_components(sketches: DataFrame, docs: DataFrame, percent: int, k: int,
     """
     usable = sketches.where("doc_id is not null and n_shingles > 0")
     classes = usable.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    reps = usable.join(classes, "key").where("doc_id = rep").dropDuplicates(["doc_id"])
-    rows = stage(reps.select("doc_id", "bytes", F.explode("bands").alias("band")), "bands")
-    buckets = rows.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = rows.select("band", "doc_id").join(buckets, "band").where("doc_id <> pivot").select("pivot", F.col("doc_id").alias("member")).distinct()
+    reps = usable.select("key", "doc_id", "bands").join(classes, "key").where("doc_id = rep").dropDuplicates(["doc_id"])
+    rows = stage(reps.select("doc_id", F.explode("bands").alias("band")), "bands")
+    sizes = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    members = stage(rows.join(sizes, "band"), "members")  # only these can have a partner
+    release(sketches.sparkSession)
+    drop(rows)
+    popular = members.groupBy("doc_id").agg(F.sum("n").alias("popularity"))
+    ranked = members.join(popular, "doc_id").select("band", "doc_id", F.struct("popularity", -F.col("doc_id")).alias("order"))
+    pivots = ranked.groupBy("band").agg(F.max("order").alias("top")).select("band", (-F.col("top.col2")).alias("pivot"))
+    pairs = members.select("band", "doc_id").join(pivots, "band").where("doc_id <> pivot").select("pivot", F.col("doc_id").alias("member")).distinct()
     tested = stage(verified(pairs, docs, percent, k, lower), "tested")
     release(sketches.sparkSession)
     parts = components(tested.where("linked").select(F.col("pivot").alias("a"), F.col("member").alias("b")))
-    rest = stage(_unconnected(rows, parts, tested, percent / 100 - slack), "rest")
+    signs = sketches.select("doc_id", "bytes")
+    rest = stage(_unconnected(members.select("band", "doc_id"), signs, parts, tested, percent / 100 - slack), "rest")
     if not rest.isEmpty():
         more = stage(verified(rest, docs, percent, k, lower), "tested")
         links = tested.unionByName(more).where("linked").select(F.col("pivot").alias("a"), F.col("member").alias("b"))
         parts = components(links)
-    drop(rows, tested, rest)
+    drop(members, tested, rest)
     named = classes.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     joined = sketches.join(named, "key", "left")
     own = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component"))
     return joined.withColumn("component_id", F.coalesce(own, F.col("doc_id"))).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))).drop("component")
 
 
-def _unconnected(rows: DataFrame, parts: DataFrame, tested: DataFrame, least: float) -> DataFrame:
+def _unconnected(rows: DataFrame, signs: DataFrame, parts: DataFrame, tested: DataFrame, least: float) -> DataFrame:
     """Pairs of one bucket in different components, not tested yet, whose signature bytes agree in ``least`` of places.
 
-    Only members outside the largest-looking component of their bucket (the pivot's) are paired with the others.
+    Only members outside the commonest-looking component of their bucket are paired with the others.
     """
 
     @F.pandas_udf("boolean")
@@ -117,6 +126,7 @@ def _unconnected(rows: DataFrame, parts: DataFrame, tested: DataFrame, least: fl
     found = few.join(others, "band").where("cx <> cy").select(F.least("x", "y").alias("pivot"), F.greatest("x", "y").alias("member")).distinct()
     old = tested.select(F.least("pivot", "member").alias("pivot"), F.greatest("pivot", "member").alias("member"))
     new = found.join(old, ["pivot", "member"], "left_anti")
-    sketch = rows.select("doc_id", "bytes").dropDuplicates(["doc_id"])
+    used = new.select(F.explode(F.array("pivot", "member")).alias("doc_id")).distinct()
+    sketch = signs.join(used, "doc_id").dropDuplicates(["doc_id"])
     both = new.join(sketch.select(F.col("doc_id").alias("pivot"), F.col("bytes").alias("p")), "pivot").join(sketch.select(F.col("doc_id").alias("member"), F.col("bytes").alias("m")), "member")
     return both.where(alike("p", "m")).select("pivot", "member")

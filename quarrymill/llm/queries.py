@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame
 _WHERE = {
     "op1_minhash_fingerprints": "minhash",
     "op4_substring_dedup": "substring",
+    "op5_hilbert_shards": "hilbert",
+    "op7_byte_bpe": "bpe",
     "op8_circulant_minhash": "circulant",
+    "op9_warc_round_trip": "warc",
 }
 
 WORDS = r"[^\x20\x09-\x0D]+"

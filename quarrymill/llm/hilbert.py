@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import table, width
@@ -17,33 +17,30 @@ def hilbert_index(dims: list[Column], bits: int) -> Column:
     The transform works from the highest bit down: coordinates are exchanged or inverted in their low bits by what
     the higher bits say, then Gray-coded; the bits of all coordinates, interleaved, are the index.
     """
-    x = list(dims)
-    n = len(x)
-    for b in range(bits - 1, 0, -1):
-        q, low = 1 << b, (1 << b) - 1
-        for i in range(n):
-            swap = (x[0].bitwiseXOR(x[i])).bitwiseAND(F.lit(low))
-            on = x[i].bitwiseAND(F.lit(q)) != 0
-            first = F.when(on, x[0].bitwiseXOR(F.lit(low))).otherwise(x[0].bitwiseXOR(swap))
-            own = F.when(on, x[i]).otherwise(x[i].bitwiseXOR(swap))
-            x[0] = first
-            if i:
-                x[i] = own
-    for i in range(1, n):
-        x[i] = x[i].bitwiseXOR(x[i - 1])
-    fix: Column = F.lit(0)
-    for b in range(bits - 1, 0, -1):
-        fix = F.when(x[n - 1].bitwiseAND(F.lit(1 << b)) != 0, fix.bitwiseXOR(F.lit((1 << b) - 1))).otherwise(fix)
-    x = [c.bitwiseXOR(fix) for c in x]
-    out: Column = F.lit(0)
-    for b in range(bits - 1, -1, -1):
-        for c in x:
-            out = F.shiftleft(out, 1).bitwiseOR(F.shiftright(c, b).bitwiseAND(F.lit(1)))
-    return out
-
-
-def cells(docs: DataFrame, bits: int = BITS) -> Column:
-    """Quantise language, source and length (log scale), and take the curve index."""
+    n = len(dims)
+    at = F.array(*[d.cast("int") for d in dims])
+    xor = lambda x, y: x.bitwiseXOR(y)
+
+    def by_dim(x: Column, b: Column, i: Column) -> Column:
+        own, head = F.element_at(x, i + 1), F.element_at(x, 1)
+        low = F.call_function("shiftleft", F.lit(1), b) - 1
+        on = own.bitwiseAND(low + 1) != 0
+        swap = xor(head, own).bitwiseAND(low)
+        return F.transform(x, lambda v, j: F.when((j == 0) & on, xor(v, low)).when(~on & ((j == 0) | (j == i)), xor(v, swap)).otherwise(v))
+
+    if bits > 1:
+        steps = F.sequence(F.lit(bits - 1), F.lit(1), F.lit(-1))
+        at = F.aggregate(steps, at, lambda x, b: F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), x, lambda y, i: by_dim(y, b, i)))
+    # Gray code: each coordinate takes in all before it
+    at = F.transform(at, lambda _, j: F.aggregate(F.slice(at, 1, j + 1), F.lit(0), xor))
+    fix = F.aggregate(F.sequence(F.lit(bits), F.lit(1), F.lit(-1)), F.lit(0), lambda t, b: F.when((b > 1) & (F.element_at(at, n).bitwiseAND(F.call_function("shiftleft", F.lit(1), b - 1)) != 0), xor(t, F.call_function("shiftleft", F.lit(1), b - 1) - 1)).otherwise(t))
+    at = F.transform(at, lambda v: xor(v, fix))
+    bit = lambda v, b: F.call_function("shiftright", v, b).bitwiseAND(F.lit(1))
+    return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), F.lit(0), lambda out, b: F.aggregate(at, out, lambda o, v: F.shiftleft(o, 1).bitwiseOR(bit(v, b))))
+
+
+def cells(bits: int = BITS) -> tuple[Column, Column, Column]:
+    """Language, source and length (log scale), quantised."""
     top = (1 << bits) - 1
     lang = F.crc32(F.coalesce(F.col("lang").cast("string"), F.lit("")).cast("binary")).bitwiseAND(F.lit(top)).cast("int")
     source = F.crc32(F.coalesce(F.col("source").cast("string"), F.lit("")).cast("binary")).bitwiseAND(F.lit(top)).cast("int")
@@ -68,7 +65,7 @@ def shards(docs: DataFrame, count: int = 16, bits: int = BITS) -> DataFrame:
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", (F.octet_length(text) + 1).cast("long").alias("_size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    dims = cells(docs, bits)
+    dims = cells(bits)
     narrow = docs.select("doc_id", F.col("_size").alias("size"), "text_crc32", *[d.alias(f"_d{i}") for i, d in enumerate(dims)])
     # the curve index of each distinct point is worked out once
     points = narrow.groupBy("_d0", "_d1", "_d2").agg(F.count("*").alias("n"))
@@ -93,20 +90,14 @@ def shards(docs: DataFrame, count: int = 16, bits: int = BITS) -> DataFrame:
 
 
 def _all():
-    from pyspark.sql import Window
-
     return Window.partitionBy()
 
 
 def _ordered():
-    from pyspark.sql import Window
-
     return Window.orderBy("hilbert", "_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def _within():
-    from pyspark.sql import Window
-
     return Window.partitionBy("hilbert", "_part").orderBy("_hash", "doc_id")
 
 

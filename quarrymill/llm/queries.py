@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame
 #: query name -> module that defines it
 _WHERE = {
     "op1_minhash_fingerprints": "minhash",
+    "op2_bucket_packing": "packing",
     "op4_substring_dedup": "substring",
     "op5_hilbert_shards": "hilbert",
+    "op6_token_rollup": "rollup",
     "op7_byte_bpe": "bpe",
     "op8_circulant_minhash": "circulant",
     "op9_warc_round_trip": "warc",
+    "op10_quality_neighbours": "quality",
 }
 
 WORDS = r"[^\x20\x09-\x0D]+"

@@ -76,8 +76,8 @@ class Slice:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
 
-def slices(column: pa.Array, lower: bool = False, limit: int = SLICE) -> Iterator[Slice]:
-    """Cut a string column into runs of rows with about ``limit`` bytes; one longer text is a run of its own."""
+def slices(column: pa.Array, lower: bool = False, limit: int = SLICE, rows: int = 1 << 14) -> Iterator[Slice]:
+    """Cut a string column into runs of at most ``rows`` rows and about ``limit`` bytes; one longer text is a run of its own."""
     column = pc.fill_null(column, "")
     if not len(column):
         return
@@ -88,7 +88,7 @@ def slices(column: pa.Array, lower: bool = False, limit: int = SLICE) -> Iterato
     lo = 0
     while lo < len(column):
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
-        hi = min(hi, len(column))
+        hi = min(hi, lo + rows, len(column))
         yield Slice(lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lower)
         lo = hi
 

@@ -30,6 +30,8 @@ from .text import shingle_sets
 
 #: Members that share one copy of their pivot's text.
 BLOCK = 256
+#: Members of a bucket whose signatures are compared with each other at a time.
+CROSS = 1024
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int, k: int, lower: bool) -> DataFrame:
@@ -110,23 +112,45 @@ def near_components(sketches: DataFrame, docs: DataFrame, percent: int, k: int,
 def _unconnected(rows: DataFrame, signs: DataFrame, parts: DataFrame, tested: DataFrame, least: float) -> DataFrame:
     """Pairs of one bucket in different components, not tested yet, whose signature bytes agree in ``least`` of places.
 
-    Only members outside the commonest-looking component of their bucket are paired with the others.
+    Only buckets of three or more members in several components are looked at. Their signatures are compared in
+    numpy, block against block of at most about CROSS members, so no pair becomes a row before it passes. A bucket
+    of n members makes n / CROSS copies of each.
     """
-
-    @F.pandas_udf("boolean")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        a, b = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (x, y))
-        return pd.Series((a == b).mean(axis=1) >= least)
-
     known = rows.join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = known.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "doc_id").alias("main"), F.count("*").alias("n")).where("low <> high and n > 2").select("band", "main")
-    members = known.join(mixed, "band")
-    few = members.where("component <> main").select("band", F.col("doc_id").alias("x"), F.col("component").alias("cx"))
-    others = members.select("band", F.col("doc_id").alias("y"), F.col("component").alias("cy"))
-    found = few.join(others, "band").where("cx <> cy").select(F.least("x", "y").alias("pivot"), F.greatest("x", "y").alias("member")).distinct()
+    mixed = known.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2")
+    members = known.join(mixed.select("band", F.ceil(F.col("n") / CROSS).cast("int").alias("blocks")), "band").join(signs.dropDuplicates(["doc_id"]), "doc_id")
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("own")
+    dealt = members.select("band", "doc_id", "component", "bytes", own, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "bytes")
+    dealt = dealt.repartition(width(rows.sparkSession), "band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+    def compare(group: pd.DataFrame) -> np.ndarray:
+        x = np.frombuffer(b"".join(group["bytes"]), np.uint8).reshape(len(group), -1)
+        ids, part, own = (group[c].to_numpy() for c in ("doc_id", "component", "own"))
+        within = group["i"].iat[0] == group["j"].iat[0]
+        left = np.arange(len(x)) if within else np.flatnonzero(own == group["i"].iat[0])
+        right = left if within else np.flatnonzero(own != group["i"].iat[0])
+        out = [np.zeros((0, 2), np.int64)]
+        for at in left:
+            to = right[right > at] if within else right
+            to = to[part[to] != part[at]]
+            to = to[(x[to] == x[at]).mean(axis=1) >= least] if len(to) else to
+            out.append(np.sort(np.stack([np.full(len(to), ids[at]), ids[to]], 1), axis=1))
+        return np.concatenate(out)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for pdf in frames:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            key = pdf[["band", "i", "j"]].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+            found = [compare(pdf.iloc[a:b]) for a, b in zip(starts, starts[1:])]
+            held = pdf.iloc[starts[-1] :]
+            if found:
+                yield pd.DataFrame(np.concatenate(found), columns=["pivot", "member"])
+        if held is not None and len(held):
+            yield pd.DataFrame(compare(held), columns=["pivot", "member"])
+
+    found = dealt.mapInPandas(run, "pivot long, member long").distinct()
     old = tested.select(F.least("pivot", "member").alias("pivot"), F.greatest("pivot", "member").alias("member"))
-    new = found.join(old, ["pivot", "member"], "left_anti")
-    used = new.select(F.explode(F.array("pivot", "member")).alias("doc_id")).distinct()
-    sketch = signs.join(used, "doc_id").dropDuplicates(["doc_id"])
-    both = new.join(sketch.select(F.col("doc_id").alias("pivot"), F.col("bytes").alias("p")), "pivot").join(sketch.select(F.col("doc_id").alias("member"), F.col("bytes").alias("m")), "member")
-    return both.where(alike("p", "m")).select("pivot", "member")
+    return found.join(old, ["pivot", "member"], "left_anti")

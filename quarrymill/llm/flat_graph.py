@@ -32,8 +32,9 @@ def medoid(x: np.ndarray) -> int:
     return int(np.argmax(x @ x.mean(0)))
 
 
-def greedy(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, start: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Beam search of all ``queries`` at once: ids and similarities of each beam, best first, and what was visited."""
+def greedy(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, start: int, beam: int, least: float = np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """Beam search of all ``queries`` at once: ids and similarities of each beam, best first, what was visited, and
+    (query, node) arrays of all visited nodes of similarity ``least`` or more, also those that left the beam."""
     b = len(queries)
     beam = min(beam, len(x))
     ids, sims = np.full((b, beam), start), np.full((b, beam), -np.inf, np.float32)
@@ -43,6 +44,8 @@ def greedy(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, start: int, be
     seen = np.zeros((b, len(x) + 1), bool)  # the last column stands for no neighbour
     seen[:, start] = seen[:, -1] = True
     rows = np.arange(b)
+    close = np.flatnonzero(sims[:, 0] >= least)
+    hits = [(close, np.full(len(close), start))]
     while len(rows):
         at = np.argmax(np.where(done[rows], -np.inf, sims[rows]), axis=1)
         open_ = ~done[rows, at]
@@ -54,12 +57,14 @@ def greedy(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, start: int, be
         fresh = ~seen[rows[:, None], near]
         seen[rows[:, None], near] = True
         found = np.where(fresh, np.einsum("bnd,bd->bn", x[near], queries[rows]), -np.inf)
+        q, at = np.nonzero(found >= least)
+        hits.append((rows[q], near[q, at]))
         every, every_id = np.concatenate([sims[rows], found], 1), np.concatenate([ids[rows], near], 1)
         every_done = np.concatenate([done[rows], ~fresh], 1)
         top = np.argsort(-every, axis=1, kind="stable")[:, :beam]
         sims[rows], ids[rows] = np.take_along_axis(every, top, 1), np.take_along_axis(every_id, top, 1)
         done[rows] = np.take_along_axis(every_done, top, 1) | np.isneginf(sims[rows])
-    return ids, sims, seen
+    return ids, sims, seen, hits
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -113,7 +118,7 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, stretch: float
     for factor in (1.0, stretch):
         for lo in range(0, n, BLOCK):
             nodes = np.arange(lo, min(n, lo + BLOCK))
-            ids, sims, _ = greedy(x, lists, x[nodes], start, beam)
+            ids, sims, *_ = greedy(x, lists, x[nodes], start, beam)
             ids = np.where(np.isfinite(sims), ids, -1)
             lists[nodes] = robust_prune(x, nodes, np.concatenate([ids, lists[nodes]], 1), degree, factor)
             _link_back(x, lists, nodes, degree, factor)
@@ -138,9 +143,8 @@ def _link_back(x: np.ndarray, lists: np.ndarray, nodes: np.ndarray, degree: int,
 
 def in_range(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, start: int, least: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, node) of similarity ``least`` or more: greedy search, then everything in range is opened in turn."""
-    ids, sims, seen = greedy(x, lists, queries, start, beam)
-    q, j = np.nonzero(sims >= least)
-    node = ids[q, j]
+    *_, seen, hits = greedy(x, lists, queries, start, beam, least)
+    q, node = (np.concatenate(part) for part in zip(*hits, strict=True))
     out_q, out_n = [q], [node]
     while len(q):
         near = lists[node]

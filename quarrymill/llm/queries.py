@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 _WHERE = {
     "op1_minhash_fingerprints": "minhash",
     "op2_bucket_packing": "packing",
+    "op3_flat_graph": "flat_graph",
     "op4_substring_dedup": "substring",
     "op5_hilbert_shards": "hilbert",
     "op6_token_rollup": "rollup",

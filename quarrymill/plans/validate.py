@@ -30,7 +30,7 @@ def validate(doc: dict) -> list[str]:
         columns[name] = {c.get("name", ""): c for c in t.get("columns", [])}
         if len(columns[name]) != len(t.get("columns", [])):
             out.append(f"{name}: a column twice")
-        out += [f"{name}: unknown table_type {t['table_type']!r}"] * (t.get("table_type", "unknown") not in TABLE_TYPES)
+        out += [f"{name}: unknown table_type {t.get('table_type')!r}"] * (t.get("table_type", "unknown") not in TABLE_TYPES)
         out += [f"{name}: primary key {k!r} is no column" for k in t.get("primary_key", []) if k not in columns[name]]
         out += _common(name, t)
         for c in t.get("columns", []):
@@ -87,6 +87,6 @@ def validate(doc: dict) -> list[str]:
 
 
 def _common(at: str, x: dict) -> list[str]:
-    out = [f"{at}: unknown lifecycle {x['lifecycle']!r}"] * (x.get("lifecycle", "inferred") not in LIFECYCLES)
+    out = [f"{at}: unknown lifecycle {x.get('lifecycle')!r}"] * (x.get("lifecycle", "inferred") not in LIFECYCLES)
     sure = x.get("confidence")
     return out + [f"{at}: confidence {sure!r} is not in 0 to 1"] * (sure is not None and not (isinstance(sure, (int, float)) and 0 <= sure <= 1))

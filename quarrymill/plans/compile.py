@@ -180,24 +180,23 @@ class _Request:
             raise _No("there is no fiscal calendar here")
         return [("period", f"date_trunc('{grain}', {_quoted(t, c)})")]
 
-    def value(self) -> tuple[Column, str]:
-        def one(operand, alone: bool) -> tuple[Column, str]:
+    def value(self) -> str:
+        """The aggregate as SQL."""
+
+        def one(operand, alone: bool) -> str:
             t, c, own = operand
             if c not in self.columns(t):
                 raise _No(f"unknown column {t}.{c}")
             agg = (self.metric.get("agg") or own or "sum") if alone else (own or "sum")
             agg = agg if agg in aggregates.AGGS else "sum"
-            kind = self.columns(t)[c].get("sql_type", "")
-            money = self.columns(t)[c].get("semantic_type") == "monetary_value" and kind in ("DOUBLE", "FLOAT") and agg == "sum"
-            col, sql = F.col(_quoted(t, c)), _quoted(t, c)
-            if money:  # sums of money are exact, whatever the order of rows
-                col, sql = col.cast("decimal(18,2)"), f"CAST({sql} AS DECIMAL(18,2))"
-            made = aggregates.aggregate(agg, col)
-            return made, (f"count(DISTINCT {sql})" if agg == "count_distinct" else f"{agg}({sql})")
+            column, sql = self.columns(t)[c], _quoted(t, c)
+            if agg == "sum" and column.get("semantic_type") == "monetary_value" and column.get("sql_type") in ("DOUBLE", "FLOAT"):
+                sql = f"CAST({sql} AS DECIMAL(18,2))"  # exact, whatever the order of rows
+            return f"count(DISTINCT {sql})" if agg == "count_distinct" else f"{agg}({sql})"
 
         if self.kind == "ratio":
-            (a, sa), (b, sb) = (one(o, False) for o in self.operands)
-            return a.cast("double") / F.nullif(b, F.lit(0)), f"CAST({sa} AS DOUBLE) / nullif({sb}, 0)"
+            top, bottom = (one(o, False) for o in self.operands)
+            return f"CAST({top} AS DOUBLE) / nullif({bottom}, 0)"
         return one(self.operands[0], True)
 
 
@@ -230,11 +229,11 @@ def compile_metric(
         if required_filters:
             for t in [request.base, *[r["to"]["table"] for r in request.joins]]:
                 where += [request.predicate(f["expr"]) for f in request.tables[t].get("knowledge", {}).get("required_filters", []) if f.get("enforcement", "required") == "required"]
-        value, value_sql = request.value()
+        value = request.value()
         bare = [c for _, c in dims]
         names = [f"{t}_{c}" if bare.count(c) > 1 else c for t, c in dims]
         groups = [*periods, *[(n, _quoted(t, c)) for n, (t, c) in zip(names, dims, strict=True)]]
-        return Compiled(_frame(request, source, groups, where, value) if source is not None else None, _text(request, groups, where, value_sql), _warnings(request))
+        return Compiled(_frame(request, source, groups, where, value) if source is not None else None, _text(request, groups, where, value), _warnings(request))
     except _No as no:
         legal = request.legal() if request is not None else []
         return Refusal(str(no), legal[:SHOWN], list(GRAINS) if request is not None and request.metric.get("agg_time_dimension") else [])
@@ -260,7 +259,7 @@ def _on(r: dict) -> str:
     return " AND ".join(f"{_quoted(r['from']['table'], a)} = {_quoted(r['to']['table'], b)}" for a, b in zip(r["from"]["columns"], r["to"]["columns"], strict=True))
 
 
-def _frame(request: _Request, source, groups, where, value) -> DataFrame:
+def _frame(request: _Request, source, groups, where, value: str) -> DataFrame:
     place = lambda t: request.tables[t].get("source") or t
     df = source.df(place(request.base)).alias(request.base)
     for r in request.joins:
@@ -270,13 +269,13 @@ def _frame(request: _Request, source, groups, where, value) -> DataFrame:
         df = df.where(reduce(Column.__and__, [F.expr(w) for w in where]))
     alias = request.metric["name"]
     if not groups:
-        return df.agg(value.alias(alias))
-    return df.groupBy(*[F.expr(sql).alias(n) for n, sql in groups]).agg(value.alias(alias)).orderBy(*[n for n, _ in groups])
+        return df.agg(F.expr(value).alias(alias))
+    return df.groupBy(*[F.expr(sql).alias(n) for n, sql in groups]).agg(F.expr(value).alias(alias)).orderBy(*[n for n, _ in groups])
 
 
-def _text(request: _Request, groups, where, value_sql: str) -> str:
+def _text(request: _Request, groups, where, value: str) -> str:
     place = lambda t: f"`{'`.`'.join((request.tables[t].get('source') or t).split('.'))}` AS `{t}`"
-    out = "SELECT " + ", ".join([*[f"{sql} AS `{n}`" for n, sql in groups], f"{value_sql} AS `{request.metric['name']}`"]) + f"\nFROM {place(request.base)}"
+    out = "SELECT " + ", ".join([*[f"{sql} AS `{n}`" for n, sql in groups], f"{value} AS `{request.metric['name']}`"]) + f"\nFROM {place(request.base)}"
     for r in request.joins:
         out += f"\nLEFT JOIN {place(r['to']['table'])} ON {_on(r)}"
     if where:

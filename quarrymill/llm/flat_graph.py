@@ -11,15 +11,17 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import drop, stage, table
+from .shared import drop, stage, table, width
 
 DEGREE, BEAM, STRETCH = 20, 28, 1.44
 #: Vectors in a shard, about; shards a vector belongs to; centres of one split.
 SHARD, OVERLAP, CENTRES = 1000, 2, 64
+#: Points of a block, and rounds of splitting.
+ROWS, LEVELS = 4096, 6
 #: Similarities within this of the threshold are worked out again in double precision.
 MARGIN = 1e-4
 BLOCK = 256
@@ -190,40 +192,56 @@ def units(vectors: DataFrame) -> DataFrame:
 
 def split(points: DataFrame, size: int, overlap: int) -> DataFrame:
     """(shard, vec_id, unit): clusters around sampled centres, each point in its ``overlap`` nearest; clusters that are
-    still too large are split again. Centres go along with their own cluster only, CENTRES at most."""
+    still too large are split again. A cluster is dealt out in blocks of about ROWS points, and its centres, CENTRES at
+    most, go along with each block, ahead of the points."""
     todo = points.select(F.concat_ws("/", "label", "dim").alias("shard"), "vec_id", "unit")
     done = None
-    for level in range(12):
+    for level in range(LEVELS + 1):
         sizes = todo.groupBy("shard").agg(F.count("*").alias("n"))
-        fits = F.col("n") <= 2 * size if level < 11 else F.lit(True)
+        fits = F.col("n") <= 2 * size if level < LEVELS else F.lit(True)
         todo = todo.join(sizes, "shard")
         ready = todo.where(fits).select("shard", "vec_id", "unit")
         done = ready if done is None else done.unionByName(ready)
         large = todo.where(~fits)
         if large.isEmpty():
             break
-        # about CENTRES of a cluster, or as many as give shards of the right size, picked by a hash
+        # about as many as give shards of the right size, picked by a hash
         want = F.least(F.lit(CENTRES), F.ceil(F.col("n") / size) + 1)
+        blocks = F.ceil(F.col("n") / ROWS).cast("int")
         drawn = large.where(F.pmod(F.xxhash64("vec_id", F.lit(level)), F.lit(1 << 30)) < F.lit(2 << 30) * want / F.col("n"))
-        few = drawn.groupBy("shard").agg(F.slice(F.sort_array(F.collect_list(F.struct("vec_id", "unit"))), 1, CENTRES).alias("centres"))
-        joined = large.select("shard", "vec_id", "unit").join(few.select("shard", F.array_join(F.transform("centres", lambda c: F.hex(c["unit"])), "").alias("centres")), "shard")
-        width_ = overlap if level == 0 else 2
-
-        @F.pandas_udf("array<int>")
-        def nearest(unit: pd.Series, centres: pd.Series, k: int = width_) -> pd.Series:
-            out = pd.Series([None] * len(unit), dtype=object)
-            for text, at in unit.groupby(centres, sort=False).groups.items():
-                x = _matrix(unit.loc[at])
-                c = np.frombuffer(bytes.fromhex(text), np.float64).reshape(-1, x.shape[1])
-                top = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :k].astype(np.int32)
-                for i, t in zip(at, top, strict=True):
-                    out[i] = t
-            return out
-
-        todo = stage(joined.select("vec_id", "unit", "shard", F.explode(nearest("unit", "centres")).alias("c")).select(F.concat_ws("/", "shard", "c").alias("shard"), "vec_id", "unit").distinct(), "clusters")
+        nth = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64("vec_id", F.lit(level))))
+        centres = drawn.withColumn("_nth", nth).where(F.col("_nth") <= want).select("shard", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(0).alias("role"), "vec_id", "unit")
+        members = large.select("shard", F.pmod(F.xxhash64("vec_id"), blocks).cast("int").alias("block"), F.lit(1).alias("role"), "vec_id", "unit")
+        dealt = centres.unionByName(members).repartition(width(points.sparkSession), "shard", "block").sortWithinPartitions("shard", "block", "role", "vec_id")
+        todo = stage(dealt.mapInPandas(_nearest(overlap), "shard string, vec_id long, unit binary"), "clusters")
     return done
 
 
+def _nearest(k: int):
+    """Rows of sorted blocks, centres first -> each point once for each of its ``k`` nearest centres."""
+
+    def run(frames):
+        at, centres = None, []
+        for pdf in frames:
+            for key, rows in pdf.groupby(["shard", "block"], sort=False):
+                if key != at:
+                    at, centres = key, []
+                first = rows["role"].to_numpy() == 0
+                centres += list(rows["unit"][first])
+                own = rows[~first]
+                if not len(own):
+                    continue
+                if not centres:  # no point of a small cluster was drawn
+                    yield own[["shard", "vec_id", "unit"]]
+                    continue
+                near = _matrix(own["unit"]) @ _matrix(pd.Series(centres)).T
+                top = np.argsort(-near, axis=1, kind="stable")[:, :k]
+                for j in range(top.shape[1]):
+                    yield pd.DataFrame({"shard": [f"{key[0]}/{c}" for c in top[:, j]], "vec_id": own["vec_id"].to_numpy(), "unit": own["unit"].to_numpy()})
+
+    return run
+
+
 def graph(shards: DataFrame) -> DataFrame:
     """(vec_id, near): the united neighbour lists of each vector."""
 

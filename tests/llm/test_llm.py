@@ -395,7 +395,7 @@ def test_quality(spark):
     held = [(i, q) for i, t, q in rows if zlib.crc32(str(i).encode()) % 5 == 0 and t]
     assert held and all(got[i]["predicted"] == q for i, q in held)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got.values())
-    assert abs(got[300]["score"] - model.prior) < 1e-9 == abs(got[301]["score"] - model.prior) < 1e-9
+    assert abs(got[300]["score"] - model.prior) < 1e-9 and abs(got[301]["score"] - model.prior) < 1e-9
     assert scored(df.limit(0), model).count() == 0
     none = train(df, labels.limit(0))
     assert {r["score"] for r in scored(df, none).collect()} == {0.5}

@@ -129,6 +129,9 @@ class _Request:
         if groups and self.columns(t)[c].get("entity_role") == "measure":
             raise _No(f"{t}.{c} is a measure: no group-by")
         for r in self.graph.paths[t]:
+            other = self.tables[r["to"]["table"]]
+            if other.get("scd") and not r.get("asof", {}).get("enabled") and set(r["to"]["columns"]) != set(other.get("primary_key", [])):
+                raise _No(f"{other['name']} keeps versions: the relationship {r.get('name')} needs an as-of date")
             if r not in self.joins:
                 self.joins.append(r)
         return t, c
@@ -180,6 +183,11 @@ class _Request:
             raise _No("there is no fiscal calendar here")
         return [("period", f"date_trunc('{grain}', {_quoted(t, c)})")]
 
+    def last_of(self, dims: list[tuple[str, str]]) -> str | None:
+        """The snapshot column over which the measure doesn't add up, if the request needs its last value."""
+        found = {self.columns(t).get(c, {}).get("aggregations", {}).get("semi_additive", {}).get("over") for t, c, _ in self.operands} - {None}
+        return next((c for c in sorted(found) if (self.base, c) not in dims), None)
+
     def value(self) -> str:
         """The aggregate as SQL."""
 
@@ -206,12 +214,16 @@ def _quoted(table: str, column: str) -> str:
 
 def compile_metric(
     doc: dict, name: str, group_by: list[str] | None = None, time_grain: str | None = None, time_start: str | None = None, time_end: str | None = None,
-    extra_filter: str | None = None, calendar: str | None = None, source=None, required_filters: bool = False,
+    extra_filter: str | None = None, calendar: str | None = None, source=None, required_filters: bool = False, dialect: str = "spark",
 ) -> Compiled | Refusal:
     """A request as SQL and, with a ``source``, as a DataFrame. Only the joins that are asked for are made, all N:1 from
-    the base, so no row is counted twice. ``required_filters`` adds the filters that tables require."""
+    the base, so no row is counted twice. Versioned dimensions join at the relationship's as-of date. A semi-additive
+    measure counts its last snapshot only, unless the snapshot is grouped by. ``required_filters`` adds the filters that
+    tables require. ``dialect`` (spark, duckdb, snowflake, bigquery) is that of the text."""
     request = None
     try:
+        if dialect not in DIALECTS:
+            raise _No(f"unknown dialect {dialect!r}")
         request = _Request(doc, name)
         dims = [request.owner(g, True) for g in group_by or []]
         periods = request.time(time_grain, calendar)
@@ -233,7 +245,8 @@ def compile_metric(
         bare = [c for _, c in dims]
         names = [f"{t}_{c}" if bare.count(c) > 1 else c for t, c in dims]
         groups = [*periods, *[(n, _quoted(t, c)) for n, (t, c) in zip(names, dims, strict=True)]]
-        return Compiled(_frame(request, source, groups, where, value) if source is not None else None, _text(request, groups, where, value), _warnings(request))
+        last = request.last_of(dims)
+        return Compiled(_frame(request, source, groups, where, value, last) if source is not None else None, DIALECTS[dialect](_text(request, groups, where, value, last)), _warnings(request))
     except _No as no:
         legal = request.legal() if request is not None else []
         return Refusal(str(no), legal[:SHOWN], list(GRAINS) if request is not None and request.metric.get("agg_time_dimension") else [])
@@ -255,16 +268,32 @@ def _warnings(request: _Request) -> list[str]:
     return out
 
 
-def _on(r: dict) -> str:
-    return " AND ".join(f"{_quoted(r['from']['table'], a)} = {_quoted(r['to']['table'], b)}" for a, b in zip(r["from"]["columns"], r["to"]["columns"], strict=True))
+def _on(request: _Request, r: dict) -> str:
+    a, b = r["from"]["table"], r["to"]["table"]
+    out = " AND ".join(f"{_quoted(a, x)} = {_quoted(b, y)}" for x, y in zip(r["from"]["columns"], r["to"]["columns"], strict=True))
+    if r.get("asof", {}).get("enabled"):
+        scd, on = request.tables[b]["scd"], _quoted(a, r["asof"]["on"].rpartition(".")[2])
+        start, end = _quoted(b, scd["valid_from"]), _quoted(b, scd["valid_to"])
+        out += f" AND {on} >= {start} AND ({end} IS NULL OR {on} <= {end})"
+    return out
+
+
+#: From Spark's text to others: quotes, and the order of arguments of date_trunc.
+DIALECTS = {
+    "spark": lambda sql: sql,
+    "duckdb": lambda sql: sql.replace("`", '"'),
+    "snowflake": lambda sql: sql.replace("`", '"'),
+    "bigquery": lambda sql: re.sub(r"date_trunc\('(\w+)', ([^)]*)\)", lambda m: f"DATE_TRUNC({m[2]}, {m[1].upper()})", sql).replace("AS DOUBLE", "AS FLOAT64").replace("AS DECIMAL(18,2)", "AS NUMERIC"),
+}
 
 
-def _frame(request: _Request, source, groups, where, value: str) -> DataFrame:
+def _frame(request: _Request, source, groups, where, value: str, last: str | None) -> DataFrame:
     place = lambda t: request.tables[t].get("source") or t
-    df = source.df(place(request.base)).alias(request.base)
+    df = source.df(place(request.base))
+    df = (aggregates.latest_snapshot(df, last) if last else df).alias(request.base)
     for r in request.joins:
         # no broadcast hint: the size of the side decides, by Spark's own threshold
-        df = df.join(source.df(place(r["to"]["table"])).alias(r["to"]["table"]), F.expr(_on(r)), "left")
+        df = df.join(source.df(place(r["to"]["table"])).alias(r["to"]["table"]), F.expr(_on(request, r)), "left")
     if where:
         df = df.where(reduce(Column.__and__, [F.expr(w) for w in where]))
     alias = request.metric["name"]
@@ -273,11 +302,13 @@ def _frame(request: _Request, source, groups, where, value: str) -> DataFrame:
     return df.groupBy(*[F.expr(sql).alias(n) for n, sql in groups]).agg(F.expr(value).alias(alias)).orderBy(*[n for n, _ in groups])
 
 
-def _text(request: _Request, groups, where, value: str) -> str:
+def _text(request: _Request, groups, where, value: str, last: str | None) -> str:
     place = lambda t: f"`{'`.`'.join((request.tables[t].get('source') or t).split('.'))}` AS `{t}`"
     out = "SELECT " + ", ".join([*[f"{sql} AS `{n}`" for n, sql in groups], f"{value} AS `{request.metric['name']}`"]) + f"\nFROM {place(request.base)}"
     for r in request.joins:
-        out += f"\nLEFT JOIN {place(r['to']['table'])} ON {_on(r)}"
+        out += f"\nLEFT JOIN {place(r['to']['table'])} ON {_on(request, r)}"
+    if last:
+        where = [f"{_quoted(request.base, last)} = (SELECT max(`{last}`) FROM {place(request.base).rpartition(' AS ')[0]})", *where]
     if where:
         out += "\nWHERE " + " AND ".join(f"({w})" for w in where)
     if groups:

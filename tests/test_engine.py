@@ -175,6 +175,37 @@ def test_fiscal_calendar(spark):
     assert len(plain) == 8 and len(fiscal) == 9 and sum(r["total_amt"] for r in fiscal) == sum(r["total_amt"] for r in plain)
 
 
+def test_versions_and_snapshots_in_metrics(spark):
+    d = date
+    source = Frames(
+        {
+            "sales": spark.createDataFrame([(1, "a", d(2024, 1, 5), 1.0), (2, "a", d(2024, 3, 5), 2.0)], "id int, cust string, dt date, amt double"),
+            "cust": spark.createDataFrame([(1, "a", "north", d(2024, 1, 1), d(2024, 2, 1)), (2, "a", "south", d(2024, 2, 2), None)], "sk int, cust string, area string, f date, t date"),
+            "stock": spark.createDataFrame([(d(2024, 1, 1), "x", 5), (d(2024, 1, 2), "x", 7), (d(2024, 1, 2), "y", 1)], "snap date, item string, qty int"),
+        }
+    )
+    column = lambda n, t="VARCHAR", r="dimension", **kw: {"name": n, "sql_type": t, "semantic_type": "unknown", "entity_role": r} | kw
+    link = {"name": "r", "from": {"table": "sales", "columns": ["cust"]}, "to": {"table": "cust", "columns": ["cust"]}}
+    doc = {
+        "tables": [
+            {"name": "sales", "columns": [column("id"), column("cust"), column("dt", "DATE"), column("amt", "DOUBLE", "measure")]},
+            {"name": "cust", "primary_key": ["sk"], "scd": {"valid_from": "f", "valid_to": "t"}, "columns": [column("sk"), column("cust"), column("area"), column("f", "DATE"), column("t", "DATE")]},
+            {"name": "stock", "columns": [column("snap", "DATE"), column("item"), column("qty", "INTEGER", "measure", aggregations={"semi_additive": {"over": "snap"}})]},
+        ],
+        "relationships": [link],
+        "metrics": [{"name": "m", "measure": "sales.amt", "agg": "sum", "agg_time_dimension": "sales.dt"}, {"name": "q", "measure": "stock.qty", "agg": "sum"}],
+    }
+    assert "as-of" in compile_metric(doc, "m", ["cust.area"]).reason
+    link["asof"] = {"enabled": True, "on": "sales.dt"}
+    out = compile_metric(doc, "m", ["cust.area"], source=source)
+    assert [tuple(r) for r in out.df.collect()] == [("north", 1.0), ("south", 2.0)] == [tuple(r) for r in run_sql(spark, source, doc, out.sql).collect()]
+    out = compile_metric(doc, "q", source=source)
+    assert out.df.first()["q"] == 8 == run_sql(spark, source, doc, out.sql).first()["q"]
+    assert {r["snap"]: r["q"] for r in compile_metric(doc, "q", ["stock.snap"], source=source).df.collect()} == {d(2024, 1, 1): 5, d(2024, 1, 2): 8}
+    assert "DATE_TRUNC(`sales`.`dt`, MONTH)" in compile_metric(doc, "m", time_grain="month", dialect="bigquery").sql
+    assert "unknown dialect" in compile_metric(doc, "m", dialect="x").reason
+
+
 def test_fan_trap(spark):
     rows = [(o, 100.0, p, s) for o in range(50) for p in range(o % 3 + 1) for s in range(o % 2 + 1)]
     df = spark.createDataFrame(rows, "order_id int, total double, payment int, shipment int")

@@ -420,7 +420,7 @@ def test_pipeline(spark, tmp_path):
     good = [" ".join(word() for _ in range(80)) for _ in range(60)]
     good[10] = good[3]
     good[11] = good[4] + " end"
-    good[20] = f"{good[20]} {passage} {good[21]}"
+    good[20] = f"{good[20]} {passage} tail"
     good[22] = f"{good[22]} {passage}"
     bad = ["!! ".join(word() for _ in range(80)).upper() for _ in range(20)]
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate([*good, *bad])]

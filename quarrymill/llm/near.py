@@ -44,7 +44,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int, k: int, lower: boo
     size = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     members = pairs.join(size, "pivot").select("pivot", "member", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"))
     roles = members.select(F.col("member").alias("_id"), "pivot", "block", F.lit(1).alias("role")).unionByName(
-        members.select("pivot", "block").distinct().select(F.col("pivot").alias("_id"), "pivot", "block", F.lit(0).alias("role"))
+        size.select(F.col("pivot").alias("_id"), "pivot", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"), F.lit(0).alias("role"))
     )
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).where("_id is not null")
     met = roles.join(texts, "_id").repartition(width(spark), "pivot", "block").sortWithinPartitions("pivot", "block", "role")
@@ -99,9 +99,10 @@ def near_components(sketches: DataFrame, docs: DataFrame, percent: int, k: int,
     signs = sketches.select("doc_id", "bytes")
     rest = stage(_unconnected(members.select("band", "doc_id"), signs, parts, tested, percent / 100 - slack), "rest")
     if not rest.isEmpty():
-        more = stage(verified(rest, docs, percent, k, lower), "tested")
-        links = tested.unionByName(more).where("linked").select(F.col("pivot").alias("a"), F.col("member").alias("b"))
-        parts = components(links)
+        more = stage(verified(rest, docs, percent, k, lower).where("linked"), "tested")
+        if not more.isEmpty():
+            known = parts.select(F.col("id").alias("a"), F.col("component").alias("b"))
+            parts = components(known.unionByName(more.select(F.col("pivot").alias("a"), F.col("member").alias("b"))))
     drop(members, tested, rest)
     named = classes.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     joined = sketches.join(named, "key", "left")

@@ -19,7 +19,7 @@ from .shared import drop, stage, table, width
 
 DEGREE, BEAM, STRETCH = 20, 28, 1.44
 #: Vectors in a shard, about; shards a vector belongs to; centres of one split.
-SHARD, OVERLAP, CENTRES = 1000, 2, 64
+SHARD, OVERLAP, CENTRES = 400, 2, 64
 #: Points of a block, and rounds of splitting.
 ROWS, LEVELS = 4096, 6
 #: Similarities within this of the threshold are worked out again in double precision.

@@ -93,13 +93,13 @@ def _among(doc: np.ndarray, values: np.ndarray, allowed: list[list[int] | None])
 
 
 def _shared_only(found: DataFrame, name: str, later_only: bool) -> DataFrame:
-    """(doc_id, [values]) where the value is in two documents at least; with later_only, not in the first of them.
+    """(doc_id, [values]) where the value is in two rows at least; with later_only, not in the smallest doc_id of them.
 
     Values are counted with partial aggregation; a value that very many documents share is then a skewed
     sort-merge join, which adaptive execution splits.
     """
     each = found.select("doc_id", F.explode("found").alias("value"))
-    first = each.groupBy("value").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("value", "low")
+    first = each.groupBy("value").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1").select("value", "low")
     met = each.join(first, "value")
     if later_only:
         met = met.where("doc_id > low")

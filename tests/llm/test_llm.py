@@ -151,6 +151,22 @@ def test_fingerprints(spark, docs, given):
     assert fingerprints(frame(spark, ["only one here"])).first()["near_next"] == 1.0
 
 
+def test_fingerprints_query_links_documents(spark, given, tmp_path):
+    from quarrymill.llm.minhash import op1_minhash_fingerprints
+
+    frame(spark, given).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op1_minhash_fingerprints(spark, str(tmp_path)).collect()}
+    parts, _ = brute_components(given, 80, False)
+    assert [got[i]["component_id"] for i in range(len(given))] == parts
+    assert [got[i]["kept"] for i in range(len(given))] == [p == i for i, p in enumerate(parts)]
+    # a repeated doc_id: the component is that of the text
+    rows = [(1, "a b c d e f"), (7, "a b c d e f"), (7, "q r s t u v"), (None, "a b c d e f"), (8, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/x/documents.parquet")
+    found = op1_minhash_fingerprints(spark, f"{tmp_path}/x").collect()
+    assert sorted((r["doc_id"] or 0, r["n_chars"], r["component_id"] or 0, r["kept"]) for r in found if r["doc_id"] != 7) == [(0, 11, 0, True), (1, 11, 1, True), (8, 0, 8, True)]
+    assert sorted((r["component_id"], r["kept"]) for r in found if r["doc_id"] == 7) == [(1, False), (7, True)]
+
+
 def brute_cut(values, length):
     first, out = {}, []
     for d, t in enumerate(values):

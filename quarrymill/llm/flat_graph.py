@@ -4,6 +4,9 @@ The vectors of a label are cut into overlapping cluster shards of bounded size.
 neighbour lists; the lists of a vector from all its shards are united. Every vector is then searched for in the
 shards it belongs to, from the shard's medoid: a greedy beam first, then, from all that lies in range, on through
 whatever else lies in range. Neighbours from other shards are looked at too. Links are confirmed in double precision.
+
+A search sees a bounded part of a group that is far larger than a shard, so it only tells which vectors belong
+together. The links of a vector are counted by comparing it with its whole component in exact blocks.
 """
 
 from __future__ import annotations
@@ -19,12 +22,14 @@ from .shared import drop, stage, table, width
 
 DEGREE, BEAM, STRETCH = 20, 28, 1.44
 #: Vectors in a shard, about; shards a vector belongs to; centres of one split.
-SHARD, OVERLAP, CENTRES = 400, 2, 64
+SHARD, OVERLAP, CENTRES = 1000, 2, 64
 #: Points of a block, and rounds of splitting.
 ROWS, LEVELS = 4096, 6
 #: Similarities within this of the threshold are worked out again in double precision.
 MARGIN = 1e-4
 BLOCK = 256
+#: Points of a component that are compared with as many others in one task.
+WHOLE = 8192
 
 
 # --- one shard -------------------------------------------------------------------------------------------------
@@ -254,8 +259,20 @@ def graph(shards: DataFrame) -> DataFrame:
     return lists.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
 
+def merge(top: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``top``, the smallest known member of each node's component, after the links (a, b)."""
+    while True:
+        x, y = top[a], top[b]
+        if (x == y).all():
+            return top
+        np.minimum.at(top, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(top[top], top):
+            top = top[top]
+
+
 def search(shards: DataFrame, lists: DataFrame, points: DataFrame, least: float) -> DataFrame:
-    """(a, b), a < b: links found from all vectors in all their shards, confirmed in double precision."""
+    """(a, b), b < a: what is linked, from all vectors in all their shards, confirmed in double precision. A shard gives
+    one row for each member of its components and not one for each link."""
     members = shards.join(lists, "vec_id")
     beyond = members.select("shard", F.explode("near").alias("vec_id")).distinct().join(shards.select("shard", "vec_id"), ["shard", "vec_id"], "left_anti")
     empty = F.lit(None).cast("array<long>").alias("near")
@@ -273,7 +290,7 @@ def search(shards: DataFrame, lists: DataFrame, points: DataFrame, least: float)
             table_[i, : len(near)] = near
         x = np.vstack([x, np.zeros((1, x.shape[1]), np.float32)])
         start = int(home[medoid(x[home])])
-        out = []
+        top = np.arange(len(ids))
         for lo in range(0, len(home), BLOCK):
             some = home[lo : lo + BLOCK]
             q, node = _range_padded(x, table_, x[some], start, least - MARGIN)
@@ -283,9 +300,9 @@ def search(shards: DataFrame, lists: DataFrame, points: DataFrame, least: float)
             for at in range(0, len(a), 1 << 16):
                 p, r = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
                 ok = np.einsum("bd,bd->b", exact[p], exact[r]) >= least
-                out.append(np.unique(np.sort(np.stack([ids[p[ok]], ids[r[ok]]], 1), axis=1), axis=0))
-        found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+                top = merge(top, p[ok], r[ok])
+        tied = np.flatnonzero(top != np.arange(len(ids)))
+        return pd.DataFrame({"a": ids[tied], "b": ids[top[tied]]})
 
     return every.groupBy("shard").applyInPandas(run, "a long, b long").distinct()
 
@@ -296,6 +313,70 @@ def _range_padded(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, start:
     return q[real], node[real]
 
 
+def tile(x: np.ndarray, y: np.ndarray, of_x: np.ndarray, of_y: np.ndarray, least: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``x`` the weights ``of_y`` of its links in ``y`` together, and the reverse; rows are not their own
+    links where ``same``."""
+    fx, fy = x.astype(np.float32), y.astype(np.float32)
+    to_x, to_y = np.zeros(len(x)), np.zeros(len(y))
+    for lo in range(0, len(x), BLOCK):
+        sims = fx[lo : lo + BLOCK] @ fy.T
+        hit = sims >= least
+        p, r = np.nonzero(np.abs(sims - least) <= MARGIN)
+        for at in range(0, len(p), 1 << 16):
+            a, b = p[at : at + (1 << 16)], r[at : at + (1 << 16)]
+            hit[a, b] = np.einsum("bd,bd->b", x[lo + a], y[b]) >= least
+        if same:
+            rows = np.arange(len(sims))
+            hit[rows, lo + rows] = False
+        hit = hit.astype(np.float64)
+        to_x[lo : lo + BLOCK] = hit @ of_y
+        to_y += of_x[lo : lo + BLOCK] @ hit
+    return to_x, to_y
+
+
+def count_links(points: DataFrame, parts: DataFrame, least: float) -> DataFrame:
+    """(vec_id, others): how many vectors each of ``points(vec_id, unit, times)`` links with in its component, each as
+    often as it occurs. Components are dealt out in blocks of about WHOLE points; each block meets each, as one task
+    that gives one row a point. Two that are a component are linked, and are not compared."""
+    sizes = parts.groupBy("component").agg(F.count("*").alias("n"))
+    members = points.select("vec_id", "unit", "times").join(parts.withColumnRenamed("id", "vec_id"), "vec_id").join(sizes, "component")
+    two = members.where("n = 2").select("component", "vec_id", "times")
+    sums = two.groupBy("component").agg(F.sum("times").alias("both"))
+    couples = two.join(sums, "component").select("vec_id", (F.col("both") - F.col("times")).alias("others"))
+    blocks = F.ceil(F.col("n") / WHOLE).cast("int")
+    dealt = members.where("n > 2").select("component", "vec_id", "unit", "times", F.pmod(F.xxhash64("vec_id"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "vec_id", "unit", "times")
+    dealt = dealt.repartition(width(points.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        x, times, ids = _matrix(group["unit"]), group["times"].to_numpy(np.float64), group["vec_id"].to_numpy()
+        if group["i"].iat[0] == group["j"].iat[0]:
+            n = tile(x, x, times, times, least, True)[0]
+        else:
+            own = (group["own"] == group["i"]).to_numpy()
+            n = np.empty(len(x))
+            n[own], n[~own] = tile(x[own], x[~own], times[own], times[~own], least, False)
+        return pd.DataFrame({"vec_id": ids, "others": n.astype(np.int64)})
+
+    def run(frames):
+        held: list[pd.DataFrame] = []  # parts of the group that may go on
+        for pdf in frames:
+            key = pdf[["component", "i", "j"]].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+            if held and tuple(held[0][["component", "i", "j"]].iloc[0]) != tuple(key[0]):
+                yield compare(pd.concat(held, ignore_index=True))
+                held = []
+            for a, b in zip(starts, starts[1:], strict=False):
+                yield compare(pd.concat([*held, pdf.iloc[a:b]], ignore_index=True))
+                held = []
+            held.append(pdf.iloc[starts[-1] :])
+        if held:
+            yield compare(pd.concat(held, ignore_index=True))
+
+    counted = dealt.mapInPandas(run, "vec_id long, others long").unionByName(couples)
+    return counted.groupBy("vec_id").agg(F.sum("others").alias("others"))
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.93, size: int = SHARD, overlap: int = OVERLAP) -> DataFrame:
     """One row per row of ``vectors(vec_id, embedding, label)``: vec_id, n_links, component_id, kept.
 
@@ -312,11 +393,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, size: int = SHARD,
     lists = stage(graph(shards), "lists")
     links = stage(search(shards, lists, points, least), "links")
     drop(lists, shards)
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    times = classes.select(F.col("rep").alias("b"), "times")
-    degree = both.join(times, "b").groupBy("a").agg(F.sum("times").alias("others"))
     parts = components(links)
-    known = classes.join(degree.withColumnRenamed("a", "rep"), "rep", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
+    degree = stage(count_links(classes.withColumnRenamed("rep", "vec_id"), parts, least), "degrees")
+    known = classes.join(degree.withColumnRenamed("vec_id", "rep"), "rep", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
     known = known.select("label", "unit", (F.coalesce("others", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     of_id = usable.join(known, ["label", "unit"]).select("vec_id", "n_links", "component_id")
     joined = vectors.select("vec_id").join(of_id, "vec_id", "left")

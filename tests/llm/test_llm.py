@@ -389,6 +389,22 @@ def test_flat_graph(spark, size):
     assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+@pytest.mark.parametrize("whole", [8192, 500])
+def test_flat_graph_counts_all_links_of_a_group_far_larger_than_a_shard(spark, monkeypatch, whole):
+    from quarrymill.llm import flat_graph
+
+    monkeypatch.setattr(flat_graph, "WHOLE", whole)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal(16) + rng.standard_normal((3000, 16)) * 0.12
+    x[0] = x[1]
+    x[2990:] = [v for w in rng.standard_normal((5, 16)) for v in (w, w * 2 + 0.01)]  # pairs
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    there = ((unit @ unit.T) >= 0.93).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in flat_graph.near_duplicates(df, size=20).collect()}
+    assert [got[i] for i in range(3000)] == there.tolist()
+
+
 def quality_rows():
     rng = random.Random(6)
     out = []

@@ -2,41 +2,82 @@
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Steps of a walk that looks for cycles.
 CAP = 20
+#: Levels from which a walk cuts its lineage in any session, and looks out for cycles.
+DEEP = 10
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a round where the session has a checkpoint folder; short walks need none."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+def _cut(df: DataFrame, deep: bool = False) -> DataFrame:
+    """Cut the lineage of a round where the session has a checkpoint folder; short walks need none, and deep ones get
+    a temporary one (one machine only; a cluster sets spark.checkpoint.dir)."""
+    context = df.sparkSession.sparkContext
+    if deep and not context.getCheckpointDir():
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quarrymill-"))
+    return df.checkpoint() if context.getCheckpointDir() else df
 
 
-def depths(nodes: DataFrame, child: str, parent: str, cap: int = CAP) -> DataFrame:
-    """(id, level): roots, whose parent is null, are level 1. A level is one join; the walk ends when a level is empty."""
-    at = nodes.where(F.col(parent).isNull()).select(F.col(child).alias("id"), F.lit(1).alias("level"))
-    edges = nodes.where(F.col(parent).isNotNull()).select(F.col(child).alias("c"), F.col(parent).alias("p"))
-    out = at
-    for level in range(2, cap + 1):
-        at = _cut(at.join(edges, F.col("id") == F.col("p")).select(F.col("c").alias("id"), F.lit(level).alias("level")))
+def _core(edges: DataFrame) -> DataFrame | None:
+    """(id): nodes of ``edges(p, c)`` that lie on cycles or between them, None if there are none. Nodes without an edge
+    in or out are peeled off until nothing changes."""
+    left = edges.where("p is not null and c is not null").select("p", "c").distinct()
+    n = left.count()
+    while n:
+        ends = left.join(left.select(F.col("p").alias("c")).distinct(), "c", "left_semi").join(left.select(F.col("c").alias("p")).distinct(), "p", "left_semi")
+        left = _cut(ends.select("p", "c"), True)
+        m = left.count()
+        if m == n:
+            return left.select(F.col("p").alias("id")).distinct()
+        n = m
+    return None
+
+
+def _walk(at: DataFrame, edges: DataFrame, node: str, step: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """``at``, level 1, and all levels that ``step(rows, level)`` makes of the one before, until one is empty. A walk
+    along ``edges(p, c)`` that comes to a cycle would never end: that is a ValueError."""
+    whole, levels, level, core = [], [at], 1, None
+    while True:
+        level += 1
+        at = _cut(step(at, level), level >= DEEP)
         if at.isEmpty():
             break
-        out = out.unionAll(at)
-    return out
+        levels.append(at)
+        if level == DEEP:
+            core = _core(edges)
+        if core is not None and not at.join(core.withColumnRenamed("id", node), node, "left_semi").isEmpty():
+            raise ValueError(f"the hierarchy has a cycle, reached at level {level}")
+        if len(levels) >= DEEP:
+            whole.append(_cut(reduce(DataFrame.unionAll, levels), True))
+            levels = []
+    return reduce(DataFrame.unionAll, [*whole, *levels])
 
 
-def explode_bom(bom: DataFrame, roots: DataFrame, parent: str, child: str, qty: str, cap: int = CAP) -> DataFrame:
-    """(root, part, qty): everything below each root, with quantities multiplied down the levels and summed."""
+def depths(nodes: DataFrame, child: str, parent: str) -> DataFrame:
+    """(id, level): roots, whose parent is null, are level 1. A level is one join; the walk ends when a level is empty,
+    however deep, and a cycle below a root is a ValueError."""
+    at = nodes.where(F.col(parent).isNull()).select(F.col(child).alias("id"), F.lit(1).alias("level"))
+    edges = nodes.where(F.col(parent).isNotNull()).select(F.col(child).alias("c"), F.col(parent).alias("p"))
+    return _walk(at, edges, "id", lambda rows, level: rows.join(edges, F.col("id") == F.col("p")).select(F.col("c").alias("id"), F.lit(level).alias("level")))
+
+
+def explode_bom(bom: DataFrame, roots: DataFrame, parent: str, child: str, qty: str) -> DataFrame:
+    """(root, part, qty): everything below each root, with quantities multiplied down the levels and summed, however
+    many levels there are. A cycle below a root is a ValueError."""
     edges = bom.select(F.col(parent).alias("p"), F.col(child).alias("c"), F.col(qty).cast("double").alias("q"))
     at = roots.select(F.col(roots.columns[0]).alias("root")).join(edges, F.col("root") == F.col("p")).select("root", F.col("c").alias("part"), F.col("q").alias("qty"))
-    out = at
-    for _ in range(cap - 1):
-        at = _cut(at.join(edges, F.col("part") == F.col("p")).select("root", F.col("c").alias("part"), (F.col("qty") * F.col("q")).alias("qty")).groupBy("root", "part").agg(F.sum("qty").alias("qty")))
-        if at.isEmpty():
-            break
-        out = out.unionAll(at)
-    return out.groupBy("root", "part").agg(F.sum("qty").alias("qty"))
+
+    def step(rows: DataFrame, level: int) -> DataFrame:
+        below = rows.join(edges, F.col("part") == F.col("p")).select("root", F.col("c").alias("part"), (F.col("qty") * F.col("q")).alias("qty"))
+        return below.groupBy("root", "part").agg(F.sum("qty").alias("qty"))
+
+    return _walk(at, edges, "part", step).groupBy("root", "part").agg(F.sum("qty").alias("qty"))
 
 
 def in_cycles(edges: DataFrame, parent: str, child: str, cap: int = CAP) -> DataFrame:

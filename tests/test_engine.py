@@ -229,6 +229,18 @@ def test_hierarchies(spark):
     assert {tuple(r) for r in hierarchy.explode_bom(bom, spark.createDataFrame([(1,)], "r int"), "p", "c", "q").collect()} == {(1, 2, 2.0), (1, 3, 7.0)}
 
 
+def test_hierarchies_of_many_levels(spark):
+    chain = spark.createDataFrame([(1, None), *((i, i - 1) for i in range(2, 34)), (90, 91), (91, 90)], "id int, up int")  # 90 and 91 hang on no root
+    assert {tuple(r) for r in hierarchy.depths(chain, "id", "up").collect()} == {(i, i) for i in range(1, 34)}
+    bom = spark.createDataFrame([*((i, i + 1, 2) for i in range(1, 24)), (1, 24, 5)], "p int, c int, q int")
+    roots = spark.createDataFrame([(1,)], "r int")
+    assert {r["part"]: r["qty"] for r in hierarchy.explode_bom(bom, roots, "p", "c", "q").collect()} == {i: 2.0 ** (i - 1) + 5 * (i == 24) for i in range(2, 25)}
+    with pytest.raises(ValueError, match="cycle"):
+        hierarchy.depths(chain.unionAll(spark.createDataFrame([(2, 33)], "id int, up int")), "id", "up")
+    with pytest.raises(ValueError, match="cycle"):
+        hierarchy.explode_bom(bom.unionAll(spark.createDataFrame([(24, 3, 1)], bom.schema)), roots, "p", "c", "q")
+
+
 def test_drift(spark, mart, inferred):
     doc = json.loads(json.dumps(inferred[0]))
     live = {t.name: t.rendered() for t in mart.tables()}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .shared import table, width
 from .text import slices
 
-#: Lengths up to 2**EXACT are told apart exactly; longer ones in steps of a 2**(EXACT - 1)th or less.
+#: Lengths up to 2**EXACT are told apart exactly; longer ones in cells of a 2**(EXACT - 1)th or less.
 EXACT = 11
 BUCKETS, BUDGET = 8, 16384
 
@@ -58,8 +58,9 @@ def boundaries(sizes: np.ndarray, counts: np.ndarray, totals: np.ndarray, bucket
 def pack(measured: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """(doc_id, n_tokens) -> the same with bucket, boundary, batch, slot and padding.
 
-    The histogram of all lengths, rounded up to the grid of EXACT, is gathered on the driver: at most
-    2**EXACT + 2**(EXACT - 1) cells for each further doubling, however many rows there are. A batch of a bucket holds
+    The histogram of all lengths, in the cells of EXACT, is gathered on the driver: at most 2**EXACT +
+    2**(EXACT - 1) cells for each further doubling, however many rows there are. The size of a cell is its longest
+    row, so a boundary is a length that occurs and no row is padded beyond the longest of its bucket. A batch of a bucket holds
     budget // boundary rows, one at least, each padded to the boundary; a row longer than the budget is a batch of
     its own bucket's rule and is never cut. Within a bucket rows stand in the order of a hash of doc_id, numbered by
     parts: a bucket that holds most rows is many parts, and the table of part counts is a few for each partition.
@@ -70,13 +71,13 @@ def pack(measured: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> D
     rows = measured.select("doc_id", F.greatest(F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)), F.lit(0)).alias("n_tokens"))
     step = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double"))) - EXACT + 1)).cast("long")
     rows = rows.withColumn("_size", (F.ceil(F.col("n_tokens") / step) * step).cast("long"))
-    cells = rows.groupBy("_size").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).toPandas().sort_values("_size")
-    sizes, counts = cells["_size"].to_numpy(np.int64), cells["n"].to_numpy(np.int64)
+    cells = rows.groupBy("_size").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("longest")).toPandas().sort_values("_size")
+    sizes, counts = cells["longest"].to_numpy(np.int64), cells["n"].to_numpy(np.int64)
     ends, _ = boundaries(sizes, counts, cells["tokens"].to_numpy(np.int64), buckets)
     goal, total = 4 * width(spark), max(1, int(counts.sum()))
     bucket = F.lit(len(ends))
     for i in range(len(ends) - 1, -1, -1):
-        bucket = F.when(F.col("_size") <= ends[i], F.lit(i)).otherwise(bucket)
+        bucket = F.when(F.col("n_tokens") <= ends[i], F.lit(i)).otherwise(bucket)
     held = [int(counts[(sizes <= e) & (sizes > b)].sum()) for b, e in zip([-1, *ends], ends, strict=False)]
     facts = spark.createDataFrame([(i, e, max(1, budget // max(e, 1)), max(1, -(-n * goal // total))) for i, (e, n) in enumerate(zip(ends, held, strict=True))], "bucket int, boundary long, room long, parts int")
     placed = rows.withColumn("bucket", bucket.cast("int")).join(F.broadcast(facts), "bucket").withColumn("_hash", F.xxhash64("doc_id"))

@@ -231,6 +231,13 @@ def test_packing(spark, docs, given):
     assert {r["doc_id"]: r["batch"] for r in pack(long, 2, 64).collect()}.keys() == {1, 2, 3}
 
 
+def test_packing_boundaries_are_lengths_that_occur(spark):
+    from quarrymill.llm.packing import pack
+
+    long = spark.createDataFrame([(1, 20001), (2, 20001), (3, 9001), (4, 5)], "doc_id long, n_tokens long")
+    assert {r["doc_id"]: (r["boundary"], r["padding"]) for r in pack(long, 3).collect()} == {1: (20001, 0), 2: (20001, 0), 3: (9001, 0), 4: (5, 0)}
+
+
 def test_hilbert_neighbours(spark):
     from pyspark.sql import functions as F
 

@@ -28,5 +28,13 @@ def queries() -> dict[str, Callable[..., DataFrame]]:
     return {name: getattr(importlib.import_module(f"{__package__}.{module}"), name) for name, module in _WHERE.items()}
 
 
+_OP9 = """
+WITH p AS (SELECT CAST(page_id AS BIGINT) AS page_id, sha256(coalesce(html, '')) AS d, strlen(coalesce(html, '')) AS n FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d),
+r AS (SELECT p.*, CASE WHEN page_id IS NULL OR page_id > first THEN first END AS refers_to FROM p LEFT JOIN f USING (d))
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc_round_trip": _OP9.strip()}

@@ -20,14 +20,14 @@ BLOCK = 1 << 20
 LEVEL = 1
 
 
-def record(page_id: int, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record; with ``refers_to``, a revisit without a body."""
+def record(page_id: int | str, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None) -> bytes:
+    """One WARC/1.1 record; with ``refers_to``, a revisit without a body. A str for ``page_id`` names a row without one."""
     revisit = refers_to is not None
     body = b"" if revisit else payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:{'row' if isinstance(page_id, str) else 'page'}:{page_id}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"X-Payload-Length: {size}",
@@ -121,11 +121,12 @@ class _Once:
 
 
 def first_of_payload(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """``pages`` with _digest, _size and refers_to: the smallest page_id of equal payloads, on the others."""
+    """``pages`` with _digest, _size and refers_to: the smallest page_id of equal payloads, on the others and on
+    rows without page_id."""
     text = F.coalesce(F.col("html").cast("string"), F.lit(""))
     pages = pages.select("page_id", "url", text.alias("html"), F.sha2(text.cast("binary"), 256).alias("_digest"), F.octet_length(text).cast("long").alias("_size"))
     again = pages.where(F.col("_size") >= least).groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return pages.join(again, "_digest", "left").withColumn("refers_to", F.when(F.col("page_id") > F.col("_first"), F.col("_first"))).drop("_first")
+    return pages.join(again, "_digest", "left").withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("_first")), F.col("_first"))).drop("_first")
 
 
 def write_archives(pages: DataFrame, root: str, least: int = LEAST) -> DataFrame:
@@ -149,7 +150,8 @@ def write_archives(pages: DataFrame, root: str, least: int = LEAST) -> DataFrame
                 for page, url, html, digest, size, refers in zip(*(batch.column(c) for c in ("page_id", "url", "html", "_digest", "_size", "refers_to")), strict=True):
                     refers = refers.as_py()
                     payload = b"" if refers is not None else html.as_py().encode()
-                    out.write(deflater.compress(record(page.as_py(), url.as_py(), payload, size.as_py(), digest.as_py(), refers)))
+                    named = page.as_py() if page.is_valid else f"{task.partitionId()}-{wrote}"
+                    out.write(deflater.compress(record(named, url.as_py(), payload, size.as_py(), digest.as_py(), refers)))
                     wrote += 1
             out.write(deflater.flush())
         if wrote:
@@ -182,7 +184,8 @@ def read_archives(archives: DataFrame, root: str) -> DataFrame:
                             refers = fields.get("warc-refers-to")
                             if fields["warc-type"] == "response" and (hashlib.sha256(body).hexdigest() != digest or len(body) != int(fields["x-payload-length"])):
                                 raise ValueError(f"{line['id']} is damaged")
-                            rows.append((int(fields["warc-record-id"][10:-1]), int(fields["x-payload-length"]), digest, fields["warc-type"], int(refers[10:-1]) if refers else None, body))
+                            own = fields["warc-record-id"]
+                            rows.append((int(own[10:-1]) if own.startswith("<urn:page:") else None, int(fields["x-payload-length"]), digest, fields["warc-type"], int(refers[10:-1]) if refers else None, body))
                         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
                         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
@@ -194,12 +197,12 @@ def round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """Write every page into archives under the shared folder and read them back; one row a page.
 
     Null html is an empty payload, null urls have no target line, payloads under ``least`` bytes are never
-    revisits. Pages of equal payload and equal page_id are all responses; rows without page_id are left out, since a
-    record needs a name. An empty table gives no archives and no rows. Other columns are not looked at.
+    revisits. Pages of equal payload and equal page_id are all responses. The record of a row without page_id is named by
+    its place, and is a revisit where a row with page_id has the same payload. An empty table gives no archives and no rows. Other columns are not looked at.
     """
     spark = pages.sparkSession
     root = new_path(spark, "warc")
-    done = write_archives(pages.select(F.col("page_id").cast("long"), "url", "html").where("page_id is not null"), root, least)
+    done = write_archives(pages.select(F.col("page_id").cast("long"), "url", "html"), root, least)
     names = spark.createDataFrame(done.collect(), "archive string, records long")  # one short row a task
     return read_archives(names, root)
 

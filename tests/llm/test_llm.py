@@ -350,6 +350,20 @@ def test_warc(spark):
     assert round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_keeps_rows_without_page_id(spark, tmp_path):
+    import compare
+
+    from quarrymill.llm.queries import oracle_sql
+    from quarrymill.llm.warc import op9_warc_round_trip, round_trip
+
+    rows = [(None, "u", "a" * 200), (None, None, "a" * 200), (5, "u", "a" * 200), (None, "u", "b" * 200), (None, "u", "b" * 200), (None, "u", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"] or 0, len(r["payload"])) for r in round_trip(df).collect())
+    assert got == sorted([(0, 200, "revisit", 5, 0)] * 2 + [(5, 200, "response", 0, 200)] + [(0, 200, "response", 0, 200)] * 2 + [(0, 0, "response", 0, 0)])
+    sf = "/root/testdata/sf0.001"
+    assert compare.of_spark(op9_warc_round_trip(spark, sf)) == compare.of_duck(oracle_sql()["op9_warc_round_trip"], sf)
+
+
 def test_normaliser_reads_any_split_of_the_stream():
     import gzip
 

@@ -496,6 +496,23 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in P.run(spark, str(tmp_path)).collect()} == set(left)
 
 
+def test_pipeline_bands_miss_no_more_than_those_of_op8(spark, monkeypatch):
+    import corpus_pipeline
+    from quarrymill.llm import circulant
+
+    used = {}
+    plain = circulant.near_duplicates
+
+    def watched(docs, percent, **kw):
+        used.update({"percent": percent, "rows": circulant.ROWS, "bands": circulant.BANDS} | kw)
+        return plain(docs, percent, **kw)
+
+    monkeypatch.setattr(circulant, "near_duplicates", watched)
+    corpus_pipeline.drop_near_duplicates(spark, empty(spark), "")
+    missed = (1 - (used["percent"] / 100) ** used["rows"]) ** used["bands"]
+    assert missed <= (1 - 0.85**circulant.ROWS) ** circulant.BANDS
+
+
 def test_entry_lists_all(spark):
     import __spark_entry__ as e
 

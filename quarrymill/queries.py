@@ -12,7 +12,7 @@ from .operators import aggregates as A
 from .operators import drift, hierarchy, joins, profile, text
 from .plans import compile as C
 from .plans.model import driver_model
-from .sources.tables import Frames, ParquetDir
+from .sources.tables import ParquetDir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -414,12 +414,11 @@ for _grain in ("day", "week", "month", "quarter", "year"):
 
 @query()
 def infer_columns(spark, sf_dir):
-    """Profile, typing, keys, links and enrichment of the small tables, as one row a column."""
+    """Profile, typing, keys, links and enrichment of all tables, as one row a column."""
     from .plans.infer import infer
     from .plans.model import columns_frame
 
-    names = ("region", "nation", "supplier", "customer", "labels")
-    doc, _ = infer(spark, Frames({n: _t(spark, sf_dir, n) for n in names}), "driver")
+    doc, _ = infer(spark, ParquetDir(spark, sf_dir), "driver")
     return columns_frame(spark, doc)
 
 

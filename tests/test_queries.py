@@ -16,6 +16,11 @@ def test_runs(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
 
 
+def test_inference_covers_all_tables(spark):
+    found = {(r["table"], r["column"]) for r in queries.QUERIES["infer_columns"](spark, SF).collect()}
+    assert found == {(t, c) for t in compare.TABLES for c in spark.read.parquet(f"{SF}/{t}.parquet").columns}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

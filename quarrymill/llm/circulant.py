@@ -41,19 +41,14 @@ def circulant_signature(values: np.ndarray, at: np.ndarray, size: int) -> np.nda
     return out
 
 
-def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
-    """A 64-bit key for every band of ``rows`` coordinates; equal numbers in other bands give other keys."""
-    n, size = signature.shape
-    parts = signature.reshape(n, size // rows, rows).astype(U64)
-    key = np.broadcast_to(np.arange(1, size // rows + 1, dtype=U64) * U64(0x9E3779B97F4A7C15), parts.shape[:2]).copy()
-    for j in range(rows):
-        key = (key ^ parts[:, :, j]) * U64(0xFF51AFD7ED558CCD)
-        key ^= key >> U64(29)
-    return key
+def set_key(shingles: np.ndarray) -> bytes:
+    """Equal exactly for equal shingle sets, up to collisions of 128 bits."""
+    return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
 def sketches(docs: DataFrame, k: int = 5, lower: bool = True, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """(doc_id, n_shingles, key, bytes, bands) of each row of ``docs(doc_id, text)``; null texts have no shingles."""
+    """(doc_id, n_shingles, key, bytes) of each row of ``docs(doc_id, text)``; null texts have no shingles. ``bytes`` has
+    the low byte of each coordinate: ``rows`` of them make a band."""
     size = rows * bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,19 +57,17 @@ def sketches(docs: DataFrame, k: int = 5, lower: bool = True, rows: int = ROWS,
                 count = np.array([len(s) for s in sets], np.int64)
                 at = np.concatenate([[0], np.cumsum(count)])
                 signature = circulant_signature(np.concatenate(sets), at, size)
-                keys = band_keys(signature, rows).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(lo, len(sets)),
                         pa.array(count),
-                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                        pa.array([set_key(s) for s in sets], pa.binary()),
                         pa.array([x.tobytes() for x in signature.astype(np.uint8)], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(keys.ravel())),
                     ],
-                    ["doc_id", "n_shingles", "key", "bytes", "bands"],
+                    ["doc_id", "n_shingles", "key", "bytes"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, bytes binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, bytes binary")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, lower: bool = True, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -82,16 +75,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, lower: bool
 
     Documents link when 100 * |intersection| >= percent * |union| of their distinct ``k``-word shingles, confirmed
     on the full sets. A pair at similarity s misses all bands with probability (1 - s**rows)**bands: 2e-7 at 0.85
-    and 1e-4 at 0.8 with the defaults. Null and empty texts, and texts without words, have no shingles and link
+    and 1e-4 at 0.8 with the defaults. A document's result depends on all others, but on no order of rows. Null and empty texts, and texts without words, have no shingles and link
     with nothing. Equal texts, ties and repeated rows fall in one class. An empty table gives no rows. Columns
     other than doc_id and text are not looked at.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = stage(sketches(docs, k, lower, rows, bands), "sketches")
-    slack = 5 * (percent / 100 * (1 - percent / 100) / (rows * bands)) ** 0.5
-    found = near_components(sketched, docs, percent, k, lower, slack)
+    found = near_components(sketched, docs, percent, k, lower, rows, bands)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op8_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates at 85 per cent over all of ``documents``: doc_id, n_shingles, component_id, kept."""
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)

@@ -13,9 +13,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .circulant import band_keys
+from .circulant import set_key
 from .near import near_components
-from .shared import drop, release, stage, table, width
+from .shared import release, stage, table, width
 from .text import U64, shingle_sets, shingles, slices
 
 PERMUTATIONS = 128
@@ -165,19 +165,15 @@ def linked_sketches(docs: DataFrame, percent: int, k: int, rows: int, bands: int
                         batch.column("doc_id").slice(lo, len(sets)),
                         pa.array(np.diff(at)),
                         pa.array([digest(t or "") for t in batch.column("text").slice(lo, len(sets)).to_pylist()], pa.int64()),
-                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                        pa.array([set_key(s) for s in sets], pa.binary()),
                         pa.array([x.tobytes() for x in signature.astype(np.uint8)], pa.binary()),
-                        pa.array(list(band_keys(signature, rows).view(np.int64)), pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_shingles", "digest", "key", "bytes", "bands"],
+                    ["doc_id", "n_shingles", "digest", "key", "bytes"],
                 )
 
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sketched = stage(docs.mapInArrow(run, "doc_id long, n_shingles long, digest long, key binary, bytes binary, bands array<long>"), "sketches")
-    found = near_components(sketched, docs, percent, k, False, 5 * (percent / 100 * (1 - percent / 100) / size) ** 0.5)
-    found = found.select("doc_id", "n_shingles", "digest", "component_id", "kept")
-    found._sketches = sketched
-    return found
+    sketched = stage(docs.mapInArrow(run, "doc_id long, n_shingles long, digest long, key binary, bytes binary"), "sketches")
+    return near_components(sketched, docs, percent, k, False, rows, bands).select("doc_id", "n_shingles", "digest", "component_id", "kept")
 
 
 def near_links(docs: DataFrame, percent: int = 80, k: int = 5, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -194,10 +190,10 @@ def linked_fingerprints(docs: DataFrame, percent: int = 80, k: int = 5) -> DataF
     tables and shuffles are gone when the texts are put in order."""
     found = linked_sketches(docs, percent, k, ROWS, BANDS)
     moved = stage(found.where("not kept").select("doc_id", "digest", F.col("component_id").alias("component")).distinct(), "moved")
-    drop(found._sketches)
     release(docs.sparkSession)
     return fingerprints(docs, k, moved)
 
 
 def op1_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """linked_fingerprints over all of ``documents``, with links at 80 per cent."""
     return linked_fingerprints(table(spark, sf_dir, "documents"))

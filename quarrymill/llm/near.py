@@ -1,15 +1,19 @@
 """From signature bands to exact links: bucket stars, verification on full shingle sets, and the pairs that remain.
 
-``sketches``: (doc_id long, n_shingles long, key binary, bytes binary, bands array<long>), one row per document;
-``key`` is equal exactly for equal shingle sets. Documents of one key form a class, represented by its smallest
-doc_id, and only representatives are compared.
+``sketches``: (doc_id long, n_shingles long, key binary, bytes binary), one row per document; ``key`` is equal
+exactly for equal shingle sets, ``bytes`` has the low byte of each signature coordinate. Documents of one key form
+a class, represented by its smallest doc_id, and only representatives are compared.
 
-1. Every bucket (one band value) links its members to one pivot, so a bucket of n members makes n - 1 candidates.
-   The pivot is the member that meets the most others over all its buckets: in a group of edited copies, the
-   text in their middle, which links them all.
-2. Candidates are verified on whole shingle sets. The pivot's set goes once to each block of its members.
-3. Two members of a bucket that no verified link connects by now may still be similar to each other. They are
-   compared by their signature bytes, and those that can reach the threshold are verified too.
+1. Bands are runs of signature bytes. They are exploded and joined a few bands at a time, and shuffles are released
+   between, so that the disk holds a part of them at once. Members of a band value make a bucket.
+2. Every bucket links its members to one pivot, so a bucket of n members makes n - 1 candidates. The pivot is the
+   member that meets the most others over all its buckets: in a group of edited copies, the text in their middle,
+   which links them all.
+3. Candidates are verified on whole shingle sets. The pivot's set goes once to each block of its members.
+4. Two members of a bucket that no verified link connects by now may still be similar to each other. Signatures
+   say which members can have such a partner. Their shingle sets meet in blocks, every pair of which is compared
+   inside one task that keeps account of components and gives a row only for a link that joins two of them:
+   n - 1 rows at most for n members, however dense the group.
 
 So no pair is lost that shares a band; members that are connected already are not compared again.
 """
@@ -17,6 +21,7 @@ So no pair is lost that shares a band; members that are connected already are no
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import drop, release, stage, width
+from .shared import drop, release, sift, stage, width
 from .text import shingle_sets
 
 #: Members that share one copy of their pivot's text.
 BLOCK = 256
-#: Members of a bucket whose signatures are compared with each other at a time.
-CROSS = 1024
+#: Members of a bucket, and shingles of them, whose sets or signatures are compared with each other at a time.
+CROSS, CROSS_SHINGLES = 1024, 1 << 20
+#: Bands that are joined at a time.
+AT_ONCE = 13
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int, k: int, lower: bool) -> DataFrame:
@@ -46,7 +53,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int, k: int, lower: boo
     roles = members.select(F.col("member").alias("_id"), "pivot", "block", F.lit(1).alias("role")).unionByName(
         size.select(F.col("pivot").alias("_id"), "pivot", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"), F.lit(0).alias("role"))
     )
-    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).where("_id is not null")
+    texts = sift(docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")), "_id", roles.select("_id").distinct())
     met = roles.join(texts, "_id").repartition(width(spark), "pivot", "block").sortWithinPartitions("pivot", "block", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,84 +81,203 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int, k: int, lower: boo
     return met.select("pivot", "block", "role", "_id", "_text").mapInArrow(run, "pivot long, member long, linked boolean")
 
 
-def near_components(sketches: DataFrame, docs: DataFrame, percent: int, k: int, lower: bool, slack: float) -> DataFrame:
-    """``sketches`` with component_id and kept.
+def buckets(reps: DataFrame, rows: int, bands: int) -> DataFrame:
+    """(band, doc_id, n) of ``reps(doc_id, bytes)``: every band value that several of them have, with their number.
 
-    slack: signature bytes that agree in less than ``percent / 100 - slack`` of places rule a pair out in step 3;
-    it is given in several standard deviations of that estimate. Rows without a doc_id or shingles link with
-    nothing; component_id is their own doc_id and kept is true. Repeated rows of a doc_id share its fate.
+    ``band`` hashes the number of the band and its ``rows`` bytes. Values are counted with partial aggregation; one
+    that very many documents share is then a skewed sort-merge join, which adaptive execution splits.
     """
-    usable = sketches.where("doc_id is not null and n_shingles > 0")
-    classes = usable.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    reps = usable.select("key", "doc_id", "bands").join(classes, "key").where("doc_id = rep").dropDuplicates(["doc_id"])
-    rows = stage(reps.select("doc_id", F.explode("bands").alias("band")), "bands")
-    sizes = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = stage(rows.join(sizes, "band"), "members")  # only these can have a partner
-    release(sketches.sparkSession)
-    drop(rows)
+    out = []
+    for lo in range(0, bands, AT_ONCE):
+        keys = [F.xxhash64(F.lit(b), F.substring("bytes", b * rows + 1, rows)) for b in range(lo, min(bands, lo + AT_ONCE))]
+        each = reps.select("doc_id", F.explode(F.array(*keys)).alias("band"))
+        shared = each.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+        out.append(stage(each.join(shared, "band"), "members"))
+        release(reps.sparkSession)
+    together = reduce(DataFrame.unionByName, out)
+    together._parts = out
+    return together
+
+
+def near_components(sketches: DataFrame, docs: DataFrame, percent: int, k: int, lower: bool, rows: int, bands: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept and the other columns of ``sketches``, but key and bytes.
+
+    The sketches, a staged table, are dropped. Rows without a doc_id or shingles link with nothing; component_id is
+    their own doc_id and kept is true. Repeated rows of a doc_id share its fate; if their texts differ, each
+    row goes by its own text.
+    """
+    spark = sketches.sparkSession
+    # signatures that agree in five standard deviations less than the threshold rule a pair out in step 4
+    least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / (rows * bands)) ** 0.5
+    plain = stage(sketches.drop("bytes"), "documents")
+    usable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    several = plain.where(usable).groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("doc_id", F.lit(True).alias("_several"))
+    if not several.isEmpty():
+        return _by_text(sketches, docs, stage(several, "several"), percent, k, lower, rows, bands)
+    classes = stage(sketches.where(usable).groupBy("key").agg(F.min(F.struct("doc_id", "bytes", "n_shingles")).alias("_rep")).select("key", "_rep.*"), "classes")
+    drop(sketches)
+    release(spark)
+    members = buckets(classes.select("doc_id", "bytes"), rows, bands)
     popular = members.groupBy("doc_id").agg(F.sum("n").alias("popularity"))
     ranked = members.join(popular, "doc_id").select("band", "doc_id", F.struct("popularity", -F.col("doc_id")).alias("order"))
     pivots = ranked.groupBy("band").agg(F.max("order").alias("top")).select("band", (-F.col("top.col2")).alias("pivot"))
-    pairs = members.select("band", "doc_id").join(pivots, "band").where("doc_id <> pivot").select("pivot", F.col("doc_id").alias("member")).distinct()
-    tested = stage(verified(pairs, docs, percent, k, lower), "tested")
-    release(sketches.sparkSession)
-    parts = components(tested.where("linked").select(F.col("pivot").alias("a"), F.col("member").alias("b")))
-    signs = sketches.select("doc_id", "bytes")
-    rest = stage(_unconnected(members.select("band", "doc_id"), signs, parts, tested, percent / 100 - slack), "rest")
-    if not rest.isEmpty():
-        more = stage(verified(rest, docs, percent, k, lower).where("linked"), "tested")
+    pairs = stage(members.select("band", "doc_id").join(pivots, "band").where("doc_id <> pivot").select("pivot", F.col("doc_id").alias("member")).distinct(), "pairs")
+    release(spark)
+    tested = stage(verified(pairs, docs, percent, k, lower).where("linked"), "tested")
+    release(spark)
+    parts = stage(components(tested.select(F.col("pivot").alias("a"), F.col("member").alias("b"))), "parts")
+    open_ = stage(_open(members, classes, parts, least), "open")
+    if not open_.isEmpty():
+        more = stage(_joining(open_, docs, parts, percent, k, lower), "joining")
         if not more.isEmpty():
             known = parts.select(F.col("id").alias("a"), F.col("component").alias("b"))
-            parts = components(known.unionByName(more.select(F.col("pivot").alias("a"), F.col("member").alias("b"))))
-    drop(members, tested, rest)
-    named = classes.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
-    joined = sketches.join(named, "key", "left")
-    own = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component"))
-    return joined.withColumn("component_id", F.coalesce(own, F.col("doc_id"))).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))).drop("component")
+            again = stage(components(known.unionByName(more)), "parts")
+            drop(parts)
+            parts = again
+        drop(more)
+    drop(pairs, tested, open_, *members._parts)
+    release(spark)
+    named = classes.select("key", F.col("doc_id").alias("rep")).join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
+    joined = plain.join(named, "key", "left")
+    component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))
+    return joined.withColumn("component_id", component).withColumn("kept", F.coalesce(component == F.col("doc_id"), F.lit(True))).drop("component", "key")
+
+
+def _by_text(sketches: DataFrame, docs: DataFrame, several: DataFrame, percent: int, k: int, lower: bool, rows: int, bands: int) -> DataFrame:
+    """near_components where texts of some doc_ids differ: each text of those is told apart by a number below 0 made of
+    doc_id and key, and components are named by real doc_ids at the end."""
+    from .circulant import set_key
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, sets in shingle_sets(batch.column("text"), k, lower):
+                piece = batch.slice(lo, len(sets))
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array([set_key(s) for s in sets], pa.binary())], ["doc_id", "text", "key"])
+
+    def numbered(frame: DataFrame) -> DataFrame:
+        own = F.when(F.col("_several"), F.lit(-1) - F.pmod(F.xxhash64("doc_id", "key"), F.lit(1 << 62))).otherwise(F.col("doc_id"))
+        return frame.join(several, "doc_id", "left").withColumn("_doc", F.col("doc_id")).withColumn("doc_id", own).drop("_several")
+
+    texts = stage(numbered(docs.select("doc_id", "text").mapInArrow(keyed, "doc_id long, text string, key binary")).select("doc_id", "text"), "texts")
+    found = stage(near_components(stage(numbered(sketches), "sketches"), texts, percent, k, lower, rows, bands), "found")
+    drop(sketches, several, texts)
+    low = found.where("doc_id is not null").groupBy("component_id").agg(F.min("_doc").alias("_low"))
+    named = found.join(low, "component_id", "left").withColumn("doc_id", F.col("_doc")).withColumn("component_id", F.when(F.col("_doc").isNotNull(), F.col("_low")))
+    return named.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))).drop("_doc", "_low")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows (band, doc_id, n_shingles, ...) -> copies for every pair of blocks (i, j) of their band, with ``own`` one of
+    the two. A band has a block for CROSS members or CROSS_SHINGLES shingles of them."""
+    sizes = rows.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / CROSS, F.sum("n_shingles") / CROSS_SHINGLES)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    each = rows.join(sizes, "band").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other")
+    return each.repartition(width(rows.sparkSession), "band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+
+def _grouped(compare, columns: list[str]):
+    """For mapInPandas: ``compare`` on each run of rows of one (band, i, j). Parts of a run are gathered, a run at a time."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in frames:
+            key = pdf[["band", "i", "j"]].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+            if held and not (held[0][["band", "i", "j"]].to_numpy()[0] == key[0]).all():
+                yield pd.DataFrame(compare(pd.concat(held, ignore_index=True)), columns=columns)
+                held = []
+            out = []
+            for a, b in zip(starts, starts[1:], strict=False):
+                out.append(compare(pd.concat([*held, pdf.iloc[a:b]], ignore_index=True)))
+                held = []
+            held.append(pdf.iloc[starts[-1] :])
+            if out:
+                yield pd.DataFrame(np.concatenate(out), columns=columns)
+        if held:
+            yield pd.DataFrame(compare(pd.concat(held, ignore_index=True)), columns=columns)
+
+    return run
+
 
+def _sides(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Rows of the left and of the right block; they are the same block if the last is true."""
+    own, i = group["own"].to_numpy(), group["i"].iat[0]
+    if i == group["j"].iat[0]:
+        return np.arange(len(group)), np.arange(len(group)), True
+    return np.flatnonzero(own == i), np.flatnonzero(own != i), False
 
-def _unconnected(rows: DataFrame, signs: DataFrame, parts: DataFrame, tested: DataFrame, least: float) -> DataFrame:
-    """Pairs of one bucket in different components, not tested yet, whose signature bytes agree in ``least`` of places.
 
-    Only buckets of three or more members in several components are looked at. Their signatures are compared in
-    numpy, block against block of at most about CROSS members, so no pair becomes a row before it passes. A bucket
-    of n members makes n / CROSS copies of each.
+def _open(members: DataFrame, classes: DataFrame, parts: DataFrame, least: float) -> DataFrame:
+    """(band, doc_id, n_shingles, component): members of a bucket that may be similar to a member of another component,
+    by signature bytes that agree in ``least`` of places.
+
+    Only buckets of three or more members in several components are looked at. Signatures are compared block against
+    block; a task gives one row for each member at most.
     """
-    known = rows.join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    known = members.select("band", "doc_id").join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = known.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2")
-    members = known.join(mixed.select("band", F.ceil(F.col("n") / CROSS).cast("int").alias("blocks")), "band").join(signs.dropDuplicates(["doc_id"]), "doc_id")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("own")
-    dealt = members.select("band", "doc_id", "component", "bytes", own, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "bytes")
-    dealt = dealt.repartition(width(rows.sparkSession), "band", "i", "j").sortWithinPartitions("band", "i", "j")
+    rows = known.join(mixed.select("band"), "band").join(classes.select("doc_id", "n_shingles", "bytes"), "doc_id")
 
     def compare(group: pd.DataFrame) -> np.ndarray:
         x = np.frombuffer(b"".join(group["bytes"]), np.uint8).reshape(len(group), -1)
-        ids, part, own = (group[c].to_numpy() for c in ("doc_id", "component", "own"))
-        within = group["i"].iat[0] == group["j"].iat[0]
-        left = np.arange(len(x)) if within else np.flatnonzero(own == group["i"].iat[0])
-        right = left if within else np.flatnonzero(own != group["i"].iat[0])
-        out = [np.zeros((0, 2), np.int64)]
+        columns = group[["band", "doc_id", "n_shingles", "component"]].to_numpy(np.int64)
+        part = columns[:, 3]
+        left, right, _ = _sides(group)
+        use = np.zeros(len(x), bool)
         for at in left:
-            to = right[right > at] if within else right
-            to = to[part[to] != part[at]]
+            to = right[part[right] != part[at]]
             to = to[(x[to] == x[at]).mean(axis=1) >= least] if len(to) else to
-            out.append(np.sort(np.stack([np.full(len(to), ids[at]), ids[to]], 1), axis=1))
-        return np.concatenate(out)
+            use[to] = True
+            use[at] |= len(to) > 0
+        return columns[use]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        for pdf in frames:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            key = pdf[["band", "i", "j"]].to_numpy()
-            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
-            found = [compare(pdf.iloc[a:b]) for a, b in zip(starts, starts[1:])]
-            held = pdf.iloc[starts[-1] :]
-            if found:
-                yield pd.DataFrame(np.concatenate(found), columns=["pivot", "member"])
-        if held is not None and len(held):
-            yield pd.DataFrame(compare(held), columns=["pivot", "member"])
-
-    found = dealt.mapInPandas(run, "pivot long, member long").distinct()
-    old = tested.select(F.least("pivot", "member").alias("pivot"), F.greatest("pivot", "member").alias("member"))
-    return found.join(old, ["pivot", "member"], "left_anti")
+    names = ["band", "doc_id", "n_shingles", "component"]
+    return _dealt(rows).mapInPandas(_grouped(compare, names), "band long, doc_id long, n_shingles long, component long").distinct()
+
+
+def joining(sets: list[np.ndarray], part: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, percent: int) -> list[tuple[int, int]]:
+    """Pairs (row, row) of sets similar to ``percent`` that join two parts, one for each join; ``part`` numbers them."""
+    up = np.unique(part, return_inverse=True)[1]
+    size = np.array([len(s) for s in sets], np.int64)
+    at_right = np.concatenate([[0], np.cumsum(size[right])])
+    values, code = np.unique(np.concatenate([sets[r] for r in right]), return_inverse=True)
+    out = []
+    mark = np.zeros(len(values) + 1, np.int64)
+    for a in left:
+        other = (up[right] != up[a]) & (100 * np.minimum(size[right], size[a]) >= percent * np.maximum(size[right], size[a])) & (size[right] > 0)
+        if same:
+            other &= right > a
+        if not other.any():
+            continue
+        where = np.searchsorted(values, sets[a])
+        where = where[values[np.minimum(where, len(values) - 1)] == sets[a]]
+        mark[where] = 1
+        both = np.add.reduceat(np.append(mark[code], 0), at_right[:-1])
+        mark[where] = 0
+        for b in np.flatnonzero(other & (100 * both >= percent * (size[right] + size[a] - both))):
+            x, y = up[a], up[right[b]]
+            if x != y:
+                out.append((a, right[b]))
+                up[up == max(x, y)] = min(x, y)
+    return out
+
+
+def _joining(rows: DataFrame, docs: DataFrame, parts: DataFrame, percent: int, k: int, lower: bool) -> DataFrame:
+    """(a, b): links between members of different components of a bucket, verified on full shingle sets; enough of them
+    to join all that are linked."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, sets in shingle_sets(batch.column("text"), k, lower):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "shingles"])
+
+    asked = rows.select("doc_id").distinct()
+    sets = sift(docs.select("doc_id", "text"), "doc_id", asked).join(asked, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(hashed, "doc_id long, shingles binary")
+
+    def compare(group: pd.DataFrame) -> np.ndarray:
+        ids = group["doc_id"].to_numpy()
+        found = joining([np.frombuffer(x, np.uint64) for x in group["shingles"]], group["component"].to_numpy(), *_sides(group), percent)
+        return np.array([(ids[a], ids[b]) for a, b in found], np.int64).reshape(-1, 2)
+
+    return _dealt(rows.join(sets, "doc_id")).mapInPandas(_grouped(compare, ["a", "b"]), "a long, b long").distinct()

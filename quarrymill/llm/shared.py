@@ -6,16 +6,23 @@ import gc
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: Bits of the largest sieve, 8 MB: the bound of what sift sends to the driver and to the executors.
+SIEVE_BITS = 26
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where that is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where that is unset and the master is local (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="quarrymill-")
@@ -56,3 +63,27 @@ def width(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sift(frame: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``frame`` whose ``column`` is in ``ids(column)``, and a few others; never one less.
+
+    For joins of whole texts with few documents: it spares the shuffle of the other texts. Ids are hashed into a
+    bitmap of 2**SIEVE_BITS bits at most, whatever their number; with more ids, more other rows pass. Rows with
+    null in ``column`` go.
+    """
+    spark = frame.sparkSession
+    size = 1 << min(SIEVE_BITS, max(10, (16 * ids.count()).bit_length()))
+    spot = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(size))
+    cells = ids.where(F.col(column).isNotNull()).select(spot.alias("_spot"))
+    cells = cells.groupBy(F.shiftright("_spot", 5).cast("int").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_spot & 31 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(size // 32, np.uint32)
+    bitmap[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy().astype(np.uint32)
+    sent = spark.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def passes(spots: pd.Series) -> pd.Series:
+        at = spots.to_numpy()
+        return pd.Series((sent.value[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1)
+
+    return frame.where(F.col(column).isNotNull()).where(passes(spot))

@@ -123,6 +123,50 @@ def test_rows_without_id_and_repeated_rows(spark):
     assert got == sorted([(2, 2, 2, True), (4, 2, 2, False), (4, 2, 2, False), (None, 0, None, True), (None, 2, None, True)], key=str)
 
 
+def test_texts_of_one_id_that_differ(spark):
+    from quarrymill.llm.circulant import near_duplicates
+
+    rows = [(4, "a b c d e f"), (4, "u v w x y z"), (7, "a b c d e f"), (9, "u v w x y z"), (9, None), (3, "")]
+    got = sorted({tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id", "kept").collect()})
+    assert got == [(3, 3, True), (4, 4, True), (7, 4, False), (9, 4, False), (9, 9, True)]
+
+
+def test_a_dense_group_gives_rows_in_proportion(spark):
+    """Copies that are near the threshold to each other: links are many times their number, rows are not."""
+    from quarrymill.llm import near
+
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(100)]
+    sets, part = [], np.arange(120)
+    for i in range(120):
+        words = [w if rng.random() < 0.97 else f"e{i}x{j}" for j, w in enumerate(base)]
+        sets.append(np.unique(np.array([hash(tuple(words[j : j + 5])) & (2**63 - 1) for j in range(96)], np.uint64)))
+    every = np.arange(120)
+    linked = [(a, b) for a in range(120) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 70 * len(np.union1d(sets[a], sets[b]))]
+    found = near.joining(sets, part, every, every, True, 70)
+    assert len(linked) > 3 * 120 > len(found)
+    assert near.joining(sets, part, every[:60], every[60:], False, 70)
+
+    def groups(pairs):
+        up = list(range(120))
+        for a, b in pairs:
+            x, y = up[a], up[b]
+            up = [min(x, y) if u in (x, y) else u for u in up]
+        return up
+
+    assert groups(found) == groups(linked)
+
+
+def test_a_sieve_lets_all_pass_that_are_asked_for(spark):
+    from quarrymill.llm.shared import sift
+
+    rows = spark.range(0, 20000).withColumnRenamed("id", "doc_id")
+    asked = rows.where("doc_id % 97 = 5")
+    got = {r[0] for r in sift(rows, "doc_id", asked).collect()}
+    assert got >= set(range(5, 20000, 97)) and len(got) < 4000
+    assert sift(rows, "doc_id", rows.where("false")).count() == 0
+
+
 def test_components_of_chains_and_stars(spark):
     from quarrymill.llm.components import components
 

@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -65,12 +65,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sift(frame: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """The rows of ``frame`` whose ``column`` is in ``ids(column)``, and a few others; never one less.
+def sieve(frame: DataFrame, column: str, ids: DataFrame) -> Column:
+    """A condition on rows of ``frame``: true where ``column`` is in ``ids(column)`` and for a few other rows, false
+    for the rest and for null.
 
     For joins of whole texts with few documents: it spares the shuffle of the other texts. Ids are hashed into a
-    bitmap of 2**SIEVE_BITS bits at most, whatever their number; with more ids, more other rows pass. Rows with
-    null in ``column`` go.
+    bitmap of 2**SIEVE_BITS bits at most, whatever their number; with more ids, more other rows pass.
     """
     spark = frame.sparkSession
     size = 1 << min(SIEVE_BITS, max(10, (16 * ids.count()).bit_length()))
@@ -83,7 +83,12 @@ def sift(frame: DataFrame, column: str, ids: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def passes(spots: pd.Series) -> pd.Series:
-        at = spots.to_numpy()
-        return pd.Series((sent.value[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1)
+        at = spots.fillna(0).to_numpy().astype(np.int64)
+        return pd.Series(((sent.value[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1) & spots.notna().to_numpy())
+
+    return passes(F.when(F.col(column).isNotNull(), spot))
 
-    return frame.where(F.col(column).isNotNull()).where(passes(spot))
+
+def sift(frame: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``frame`` whose ``column`` is in ``ids(column)``, and a few others (see sieve)."""
+    return frame.where(sieve(frame, column, ids))

@@ -238,6 +238,51 @@ def test_substrings(spark, docs, given, length):
     assert cut(empty(spark), length).count() == 0
 
 
+def test_prints_that_collide_decide_nothing(spark, docs, given):
+    """With prints of three bits nearly all windows collide; words decide all the same."""
+    from quarrymill.llm.substring import cut
+
+    want = brute_cut(given, 13)
+    got = {r["doc_id"]: r for r in cut(docs, 13, bits=3).collect()}
+    for i in range(len(given)):
+        assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_words"]) == want[i]
+
+
+def test_extension_compares_words():
+    from quarrymill.llm.substring import extend
+
+    words = [b"w%d" % i for i in range(30)]
+    other = [b"x", *words[3:20], b"y"]
+    prints = np.array([7 if p == 8 else p + 100 for p in range(26)], np.int64)
+
+    class Fixed:
+        def __init__(self, s, length, bits):
+            self.doc, self.at = np.zeros(len(other) - length + 1, int), np.arange(len(other) - length + 1)
+
+        def prints(self):
+            return np.array([7 if q in (0, 6) else -q for q in self.at], np.int64)
+
+    from quarrymill.llm import substring
+
+    kept, substring.Windows = substring.Windows, Fixed
+    try:  # one seed: the match grows to words 3 to 20 from it, past a window of the same print and other words
+        ok, odd = extend(words, prints, [b" ".join(other)], set(), 5)
+    finally:
+        substring.Windows = kept
+    assert np.flatnonzero(ok).tolist() == list(range(3, 16)) and not len(odd)
+
+
+def test_substrings_of_odd_tables(spark):
+    from quarrymill.llm.substring import cut
+
+    passage = " ".join(f"p{i}" for i in range(20))
+    long = " ".join(f"q{i % 977}x{i}" for i in range(40000))
+    rows = [(3, passage, "a"), (3, passage, "a"), (3, "a " + passage, "b"), (None, passage, "c"), (9, f"z {passage} y", "d"), (9, None, "e"), (7, long, "f"), (8, "s " + long, "g"), (5, "", "h")]
+    frame_ = spark.createDataFrame(rows, "doc_id long, text string, `_odd` string").withColumnRenamed("_odd", "spans")
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in cut(frame_, 13).collect())
+    assert got == [(0, 20, 0), (3, 20, 0), (3, 20, 0), (3, 21, 0), (5, 0, 0), (7, 40000, 0), (8, 40001, 40000), (9, 0, 0), (9, 22, 20)]
+
+
 def test_packing_boundaries_are_optimal():
     from itertools import combinations
 

@@ -21,6 +21,8 @@ from .components import components
 from .shared import drop, stage, table, width
 
 DEGREE, BEAM, STRETCH = 20, 28, 1.44
+#: Places of a list that hold random far links.
+FAR = 3
 #: Vectors in a shard, about; shards a vector belongs to; centres of one split.
 SHARD, OVERLAP, CENTRES = 1000, 2, 64
 #: Points of a block, and rounds of splitting.
@@ -115,42 +117,30 @@ def robust_prune(x: np.ndarray, nodes: np.ndarray, ids: np.ndarray, degree: int,
 
 
 def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, stretch: float = STRETCH, seed: int = 3) -> np.ndarray:
-    """Neighbour lists (-1: none) of unit vectors ``x``: from random lists, two passes of search, prune and back links."""
+    """Neighbour lists (-1: none) of unit vectors ``x``: the nearest ``degree + beam`` of each, found in blocks, are robustly
+    pruned; the last FAR places of a list are random far links, so that a search gets from anywhere to anywhere."""
     n = len(x)
     if n == 1:
         return np.full((1, degree), -1)
-    rng = np.random.default_rng(seed)
-    lists = rng.integers(0, n, (n, degree))
-    start = medoid(x)
-    for factor in (1.0, stretch):
-        for lo in range(0, n, BLOCK):
-            nodes = np.arange(lo, min(n, lo + BLOCK))
-            ids, sims, *_ = greedy(x, lists, x[nodes], start, beam)
-            ids = np.where(np.isfinite(sims), ids, -1)
-            lists[nodes] = robust_prune(x, nodes, np.concatenate([ids, lists[nodes]], 1), degree, factor)
-            _link_back(x, lists, nodes, degree, factor)
+    lists = np.empty((n, degree), np.int64)
+    k = min(n, degree + beam)
+    for lo in range(0, n, BLOCK):
+        nodes = np.arange(lo, min(n, lo + BLOCK))
+        away = -(x[nodes] @ x.T)
+        near = np.argpartition(away, k - 1, axis=1)[:, :k]
+        lists[nodes, : degree - FAR] = robust_prune(x, nodes, near, degree - FAR, stretch)
+    lists[:, degree - FAR :] = np.random.default_rng(seed).integers(0, n, (n, FAR))
     return lists
 
 
-def _link_back(x: np.ndarray, lists: np.ndarray, nodes: np.ndarray, degree: int, factor: float) -> None:
-    to, by = lists[nodes].ravel(), np.repeat(nodes, degree)
-    to, by = to[to >= 0], by[to >= 0]
-    order = np.argsort(to, kind="stable")
-    to, by = to[order], by[order]
-    who, first, count = np.unique(to, return_index=True, return_counts=True)
-    most = int(count.max()) if len(who) else 0
-    if not most:
-        return
-    more = np.full((len(who), most), -1)
-    more[np.repeat(np.arange(len(who)), count), np.arange(len(to)) - np.repeat(first, count)] = by
-    for lo in range(0, len(who), BLOCK):
-        some = slice(lo, lo + BLOCK)
-        lists[who[some]] = robust_prune(x, who[some], np.concatenate([lists[who[some]], more[some]], 1), degree, factor)
-
-
-def in_range(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, start: int, least: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, node) of similarity ``least`` or more: greedy search, then everything in range is opened in turn."""
+def in_range(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, start: int, least: float, beam: int = BEAM, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, node) of similarity ``least`` or more: greedy search, then everything in range is opened in turn.
+    Queries that are nodes themselves, ``own``, are in their own range, whether the greedy search came there or not."""
     *_, seen, hits = greedy(x, lists, queries, start, beam, least)
+    if own is not None:
+        late = np.flatnonzero(~seen[np.arange(len(queries)), own])
+        seen[late, own[late]] = True
+        hits.append((late, own[late]))
     q, node = (np.concatenate(part) for part in zip(*hits, strict=True))
     out_q, out_n = [q], [node]
     while len(q):
@@ -196,55 +186,63 @@ def units(vectors: DataFrame) -> DataFrame:
 
 
 def split(points: DataFrame, size: int, overlap: int) -> DataFrame:
-    """(shard, vec_id, unit): clusters around sampled centres, each point in its ``overlap`` nearest; clusters that are
-    still too large are split again. A cluster is dealt out in blocks of about ROWS points, and its centres, CENTRES at
-    most, go along with each block, ahead of the points."""
-    todo = points.select(F.concat_ws("/", "label", "dim").alias("shard"), "vec_id", "unit")
+    """(shard, vec_id, unit): clusters around sampled centres; clusters that are still too large are split again. A
+    point goes to its ``overlap`` nearest centres in the first and in the last split of a cluster, and to the nearest
+    in those between, so that the number of its copies doesn't grow with the levels.
+
+    A cluster is dealt out in blocks of about ROWS points, and its centres, CENTRES at most, go along with each block,
+    ahead of the points. What LEVELS splits leave too large, points closer together than centres can tell, is dealt
+    out by hash, and the same CENTRES points go to each part: they hold the parts of a dense group together."""
+    todo = points.select(F.concat_ws("/", F.hex(F.encode("label", "utf-8")), "dim").alias("shard"), "vec_id", "unit")
     done = None
     for level in range(LEVELS + 1):
         sizes = todo.groupBy("shard").agg(F.count("*").alias("n"))
-        fits = F.col("n") <= 2 * size if level < LEVELS else F.lit(True)
         todo = todo.join(sizes, "shard")
-        ready = todo.where(fits).select("shard", "vec_id", "unit")
+        ready = todo.where(F.col("n") <= 2 * size).select("shard", "vec_id", "unit")
         done = ready if done is None else done.unionByName(ready)
-        large = todo.where(~fits)
+        large = todo.where(F.col("n") > 2 * size)
         if large.isEmpty():
             break
         # about as many as give shards of the right size, picked by a hash
         want = F.least(F.lit(CENTRES), F.ceil(F.col("n") / size) + 1)
+        order = F.xxhash64("vec_id", F.lit(level))
+        drawn = large.where(F.pmod(order, F.lit(1 << 30)) < F.lit(2 << 30) * want / F.col("n"))
+        centres = drawn.withColumn("_nth", F.row_number().over(Window.partitionBy("shard").orderBy(order))).where(F.col("_nth") <= want)
+        if level == LEVELS:
+            parts = F.ceil(F.col("n") / size).cast("int")
+            own = large.select("shard", F.pmod(F.xxhash64("vec_id"), parts).cast("int").alias("part"), "vec_id", "unit")
+            held = centres.select("shard", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "vec_id", "unit")
+            both = own.unionByName(held).dropDuplicates(["shard", "part", "vec_id"])
+            done = done.unionByName(both.select(F.concat_ws("#", "shard", "part").alias("shard"), "vec_id", "unit"))
+            break
         blocks = F.ceil(F.col("n") / ROWS).cast("int")
-        drawn = large.where(F.pmod(F.xxhash64("vec_id", F.lit(level)), F.lit(1 << 30)) < F.lit(2 << 30) * want / F.col("n"))
-        nth = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64("vec_id", F.lit(level))))
-        centres = drawn.withColumn("_nth", nth).where(F.col("_nth") <= want).select("shard", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(0).alias("role"), "vec_id", "unit")
-        members = large.select("shard", F.pmod(F.xxhash64("vec_id"), blocks).cast("int").alias("block"), F.lit(1).alias("role"), "vec_id", "unit")
-        dealt = centres.unionByName(members).repartition(width(points.sparkSession), "shard", "block").sortWithinPartitions("shard", "block", "role", "vec_id")
-        todo = stage(dealt.mapInPandas(_nearest(overlap), "shard string, vec_id long, unit binary"), "clusters")
+        copies = F.lit(overlap) if level == 0 else F.when(F.col("n") <= CENTRES * size // 2, overlap).otherwise(1)
+        ahead = centres.select("shard", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(0).alias("role"), "vec_id", "unit")
+        members = large.select("shard", F.pmod(F.xxhash64("vec_id"), blocks).cast("int").alias("block"), copies.cast("int").alias("role"), "vec_id", "unit")
+        dealt = ahead.unionByName(members).repartition(width(points.sparkSession), "shard", "block").sortWithinPartitions("shard", "block", "role", "vec_id")
+        todo = stage(dealt.mapInPandas(_nearest, "shard string, vec_id long, unit binary"), "clusters")
     return done
 
 
-def _nearest(k: int):
-    """Rows of sorted blocks, centres first -> each point once for each of its ``k`` nearest centres."""
-
-    def run(frames):
-        at, centres = None, []
-        for pdf in frames:
-            for key, rows in pdf.groupby(["shard", "block"], sort=False):
-                if key != at:
-                    at, centres = key, []
-                first = rows["role"].to_numpy() == 0
-                centres += list(rows["unit"][first])
-                own = rows[~first]
-                if not len(own):
-                    continue
-                if not centres:  # no point of a small cluster was drawn
-                    yield own[["shard", "vec_id", "unit"]]
-                    continue
-                near = _matrix(own["unit"]) @ _matrix(pd.Series(centres)).T
-                top = np.argsort(-near, axis=1, kind="stable")[:, :k]
-                for j in range(top.shape[1]):
-                    yield pd.DataFrame({"shard": [f"{key[0]}/{c}" for c in top[:, j]], "vec_id": own["vec_id"].to_numpy(), "unit": own["unit"].to_numpy()})
-
-    return run
+def _nearest(frames):
+    """Rows of sorted blocks, centres first -> each point once for each of its nearest centres; ``role`` says how many."""
+    at, centres = None, []
+    for pdf in frames:
+        for key, rows in pdf.groupby(["shard", "block"], sort=False):
+            if key != at:
+                at, centres = key, []
+            first = rows["role"].to_numpy() == 0
+            centres += list(rows["unit"][first])
+            own = rows[~first]
+            if not len(own):
+                continue
+            if not centres:  # no point of a small cluster was drawn
+                yield own[["shard", "vec_id", "unit"]]
+                continue
+            near = _matrix(own["unit"]) @ _matrix(pd.Series(centres)).T
+            top = np.argsort(-near, axis=1, kind="stable")[:, : int(own["role"].iat[0])]
+            for j in range(top.shape[1]):
+                yield pd.DataFrame({"shard": [f"{key[0]}/{c}" for c in top[:, j]], "vec_id": own["vec_id"].to_numpy(), "unit": own["unit"].to_numpy()})
 
 
 def graph(shards: DataFrame) -> DataFrame:
@@ -293,7 +291,7 @@ def search(shards: DataFrame, lists: DataFrame, points: DataFrame, least: float)
         top = np.arange(len(ids))
         for lo in range(0, len(home), BLOCK):
             some = home[lo : lo + BLOCK]
-            q, node = _range_padded(x, table_, x[some], start, least - MARGIN)
+            q, node = _range_padded(x, table_, some, start, least - MARGIN)
             a, b = some[q], node
             keep = a != b
             a, b = a[keep], b[keep]
@@ -307,8 +305,8 @@ def search(shards: DataFrame, lists: DataFrame, points: DataFrame, least: float)
     return every.groupBy("shard").applyInPandas(run, "a long, b long").distinct()
 
 
-def _range_padded(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, start: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    q, node = in_range(x, np.vstack([lists, np.full((1, lists.shape[1]), len(x) - 1)]), queries, start, least)
+def _range_padded(x: np.ndarray, lists: np.ndarray, own: np.ndarray, start: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    q, node = in_range(x, np.vstack([lists, np.full((1, lists.shape[1]), len(x) - 1)]), x[own], start, least, own=own)
     real = node < len(x) - 1
     return q[real], node[real]
 
@@ -383,10 +381,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, size: int = SHARD,
     Vectors of one label (and dimension) link at cosine ``least`` or more. Equal directions are one point of the
     graph, and count as often as they occur. Rows that are not usable (see units), and all rows of labels that are
     null, have no links and are their own component; kept is true for them, also without vec_id. Repeated rows of one
-    vec_id get one row each, all the same. An empty table gives no rows. Other columns are not looked at.
+    vec_id get one row each, all the same; if they differ, the usable one of smallest label and vector stands for all. An empty table gives no rows. Other columns are not looked at.
     """
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
-    usable = stage(units(vectors).dropDuplicates(["vec_id"]), "units")
+    one = units(vectors).groupBy("vec_id").agg(F.min(F.struct("label", "dim", "unit")).alias("_one"))
+    usable = stage(one.select("vec_id", "_one.*"), "units")
     classes = stage(usable.groupBy("label", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times"), F.first("dim").alias("dim")), "classes")
     points = classes.select(F.col("rep").alias("vec_id"), "label", "dim", "unit")
     shards = stage(split(points, size, overlap), "shards")
@@ -425,4 +424,5 @@ def audit_recall(vectors: DataFrame, found: DataFrame, least: float = 0.93, ever
 
 
 def op3_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates at cosine 0.93 over all of ``embeddings``: vec_id, n_links, component_id, kept."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))

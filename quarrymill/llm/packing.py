@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import table, width
+from .shared import stage, table, width
 from .text import slices
 
 #: Lengths up to 2**EXACT are told apart exactly; longer ones in cells of a 2**(EXACT - 1)th or less.
@@ -18,7 +18,7 @@ BUCKETS, BUDGET = 8, 16384
 
 
 def lengths(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens): the number of words of each whole text; null texts have none."""
+    """(doc_id, n_tokens): the number of words of each whole text; null texts have none. Very long texts count in full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,6 +68,7 @@ def pack(measured: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> D
     Null lengths count as 0; rows of equal or null doc_id all get places. An empty table gives no rows.
     """
     spark = measured.sparkSession
+    measured = stage(measured.select("doc_id", "n_tokens"), "lengths")  # texts are read once, their lengths three times
     rows = measured.select("doc_id", F.greatest(F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)), F.lit(0)).alias("n_tokens"))
     step = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double"))) - EXACT + 1)).cast("long")
     rows = rows.withColumn("_size", (F.ceil(F.col("n_tokens") / step) * step).cast("long"))
@@ -93,4 +94,5 @@ def pack(measured: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> D
 
 
 def op2_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack over the lengths in words of all of ``documents``. Byte-level BPE lengths cost twice the CPU budget."""
     return pack(lengths(table(spark, sf_dir, "documents")))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .circulant import set_key
 from .near import near_components
-from .shared import release, stage, table, width
+from .shared import drop, release, stage, table, width
 from .text import U64, shingle_sets, shingles, slices
 
 PERMUTATIONS = 128
@@ -173,7 +173,7 @@ def linked_sketches(docs: DataFrame, percent: int, k: int, rows: int, bands: int
 
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sketched = stage(docs.mapInArrow(run, "doc_id long, n_shingles long, digest long, key binary, bytes binary"), "sketches")
-    return near_components(sketched, docs, percent, k, False, rows, bands).select("doc_id", "n_shingles", "digest", "component_id", "kept")
+    return near_components(sketched, docs, percent, k, False, rows, bands)
 
 
 def near_links(docs: DataFrame, percent: int = 80, k: int = 5, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -190,7 +190,8 @@ def linked_fingerprints(docs: DataFrame, percent: int = 80, k: int = 5) -> DataF
     tables and shuffles are gone when the texts are put in order."""
     found = linked_sketches(docs, percent, k, ROWS, BANDS)
     moved = stage(found.where("not kept").select("doc_id", "digest", F.col("component_id").alias("component")).distinct(), "moved")
-    release(docs.sparkSession)
+    drop(*found._reads)
+    release(docs.sparkSession, 3)
     return fingerprints(docs, k, moved)
 
 

@@ -84,12 +84,12 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int, k: int, lower: boo
 def buckets(reps: DataFrame, rows: int, bands: int) -> DataFrame:
     """(band, doc_id, n) of ``reps(doc_id, bytes)``: every band value that several of them have, with their number.
 
-    ``band`` hashes the number of the band and its ``rows`` bytes. Values are counted with partial aggregation; one
+    ``band`` hashes the ``rows`` bytes of the band; its low byte is the number of the band, below 256. Values are counted with partial aggregation; one
     that very many documents share is then a skewed sort-merge join, which adaptive execution splits.
     """
     out = []
     for lo in range(0, bands, AT_ONCE):
-        keys = [F.xxhash64(F.lit(b), F.substring("bytes", b * rows + 1, rows)) for b in range(lo, min(bands, lo + AT_ONCE))]
+        keys = [F.xxhash64(F.substring("bytes", b * rows + 1, rows)).bitwiseAND(F.lit(-256)).bitwiseOR(F.lit(b)) for b in range(lo, min(bands, lo + AT_ONCE))]
         each = reps.select("doc_id", F.explode(F.array(*keys)).alias("band"))
         shared = each.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
         out.append(stage(each.join(shared, "band"), "members"))
@@ -102,7 +102,7 @@ def buckets(reps: DataFrame, rows: int, bands: int) -> DataFrame:
 def near_components(sketches: DataFrame, docs: DataFrame, percent: int, k: int, lower: bool, rows: int, bands: int) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and the other columns of ``sketches``, but key and bytes.
 
-    The sketches, a staged table, are dropped. Rows without a doc_id or shingles link with nothing; component_id is
+    The sketches, a staged table, are dropped; ``_reads`` of the result lists the staged tables that it reads. Rows without a doc_id or shingles link with nothing; component_id is
     their own doc_id and kept is true. Repeated rows of a doc_id share its fate; if their texts differ, each
     row goes by its own text.
     """
@@ -126,7 +126,9 @@ def near_components(sketches: DataFrame, docs: DataFrame, percent: int, k: int,
     tested = stage(verified(pairs, docs, percent, k, lower).where("linked"), "tested")
     release(spark)
     parts = stage(components(tested.select(F.col("pivot").alias("a"), F.col("member").alias("b"))), "parts")
-    open_ = stage(_open(members, classes, parts, least), "open")
+    release(spark)
+    open_ = stage(_open(members, classes, parts, least, rows), "open")
+    release(spark)
     if not open_.isEmpty():
         more = stage(_joining(open_, docs, parts, percent, k, lower), "joining")
         if not more.isEmpty():
@@ -135,12 +137,15 @@ def near_components(sketches: DataFrame, docs: DataFrame, percent: int, k: int,
             drop(parts)
             parts = again
         drop(more)
-    drop(pairs, tested, open_, *members._parts)
+    reps = stage(classes.select("key", F.col("doc_id").alias("rep")), "reps")
+    drop(pairs, tested, open_, classes, *members._parts)
     release(spark)
-    named = classes.select("key", F.col("doc_id").alias("rep")).join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
+    named = reps.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     joined = plain.join(named, "key", "left")
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))
-    return joined.withColumn("component_id", component).withColumn("kept", F.coalesce(component == F.col("doc_id"), F.lit(True))).drop("component", "key")
+    out = joined.withColumn("component_id", component).withColumn("kept", F.coalesce(component == F.col("doc_id"), F.lit(True))).drop("component", "key")
+    out._reads = [plain, reps, parts]
+    return out
 
 
 def _by_text(sketches: DataFrame, docs: DataFrame, several: DataFrame, percent: int, k: int, lower: bool, rows: int, bands: int) -> DataFrame:
@@ -159,21 +164,27 @@ def _by_text(sketches: DataFrame, docs: DataFrame, several: DataFrame, percent:
         return frame.join(several, "doc_id", "left").withColumn("_doc", F.col("doc_id")).withColumn("doc_id", own).drop("_several")
 
     texts = stage(numbered(docs.select("doc_id", "text").mapInArrow(keyed, "doc_id long, text string, key binary")).select("doc_id", "text"), "texts")
-    found = stage(near_components(stage(numbered(sketches), "sketches"), texts, percent, k, lower, rows, bands), "found")
-    drop(sketches, several, texts)
+    each = near_components(stage(numbered(sketches), "sketches"), texts, percent, k, lower, rows, bands)
+    found = stage(each, "found")
+    drop(sketches, several, texts, *each._reads)
     low = found.where("doc_id is not null").groupBy("component_id").agg(F.min("_doc").alias("_low"))
     named = found.join(low, "component_id", "left").withColumn("doc_id", F.col("_doc")).withColumn("component_id", F.when(F.col("_doc").isNotNull(), F.col("_low")))
-    return named.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))).drop("_doc", "_low")
+    out = named.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))).drop("_doc", "_low")
+    out._reads = [found]
+    return out
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame) -> DataFrame:
     """Rows (band, doc_id, n_shingles, ...) -> copies for every pair of blocks (i, j) of their band, with ``own`` one of
     the two. A band has a block for CROSS members or CROSS_SHINGLES shingles of them."""
     sizes = rows.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / CROSS, F.sum("n_shingles") / CROSS_SHINGLES)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     each = rows.join(sizes, "band").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = each.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other")
-    return each.repartition(width(rows.sparkSession), "band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return each.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(width(rows.sparkSession), "band", "i", "j").sortWithinPartitions("band", "i", "j")
 
 
 def _grouped(compare, columns: list[str]):
@@ -208,9 +219,9 @@ def _sides(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
     return np.flatnonzero(own == i), np.flatnonzero(own != i), False
 
 
-def _open(members: DataFrame, classes: DataFrame, parts: DataFrame, least: float) -> DataFrame:
+def _open(members: DataFrame, classes: DataFrame, parts: DataFrame, least: float, width_: int) -> DataFrame:
     """(band, doc_id, n_shingles, component): members of a bucket that may be similar to a member of another component,
-    by signature bytes that agree in ``least`` of places.
+    by signature bytes that agree in ``least`` of places. A pair that shares several bands counts in the first.
 
     Only buckets of three or more members in several components are looked at. Signatures are compared block against
     block; a task gives one row for each member at most.
@@ -225,15 +236,19 @@ def _open(members: DataFrame, classes: DataFrame, parts: DataFrame, least: float
         part = columns[:, 3]
         left, right, _ = _sides(group)
         use = np.zeros(len(x), bool)
+        before = x[:, : (int(columns[0, 0]) & 255) * width_]  # of the bands ahead of this one
         for at in left:
             to = right[part[right] != part[at]]
             to = to[(x[to] == x[at]).mean(axis=1) >= least] if len(to) else to
+            if len(to) and before.shape[1]:
+                same = (before[to] == before[at]).reshape(len(to), -1, width_).all(axis=2).any(axis=1)
+                to = to[~same]
             use[to] = True
             use[at] |= len(to) > 0
         return columns[use]
 
     names = ["band", "doc_id", "n_shingles", "component"]
-    return _dealt(rows).mapInPandas(_grouped(compare, names), "band long, doc_id long, n_shingles long, component long").distinct()
+    return _dealt(_blocks(rows)).mapInPandas(_grouped(compare, names), "band long, doc_id long, n_shingles long, component long").distinct()
 
 
 def joining(sets: list[np.ndarray], part: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, percent: int) -> list[tuple[int, int]]:
@@ -267,17 +282,26 @@ def _joining(rows: DataFrame, docs: DataFrame, parts: DataFrame, percent: int, k
     """(a, b): links between members of different components of a bucket, verified on full shingle sets; enough of them
     to join all that are linked."""
 
+    places = _blocks(rows).select("doc_id", F.struct("band", "i", "j", "own", "component").alias("place")).groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    names = ["band", "i", "j", "own", "component"]
+
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, sets in shingle_sets(batch.column("text"), k, lower):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "shingles"])
+                own = batch.column("places").slice(lo, len(sets))
+                at, flat = np.repeat(np.arange(len(sets)), np.diff(own.offsets.to_numpy())), own.flatten()
+                raw = pa.array([s.tobytes() for s in sets], pa.binary())
+                for a in range(0, len(at), 256):
+                    some = pa.array(at[a : a + 256])
+                    columns = dict(zip((f.name for f in flat.type), flat.slice(a, 256).flatten(), strict=True))
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(sets)).take(some), raw.take(some), *(columns[c] for c in names)], ["doc_id", "shingles", *names])
 
-    asked = rows.select("doc_id").distinct()
-    sets = sift(docs.select("doc_id", "text"), "doc_id", asked).join(asked, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(hashed, "doc_id long, shingles binary")
+    texts = sift(docs.select("doc_id", "text"), "doc_id", places.select("doc_id")).dropDuplicates(["doc_id"])
+    sets = texts.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(hashed, "doc_id long, shingles binary, band long, i int, j int, own int, component long")
 
     def compare(group: pd.DataFrame) -> np.ndarray:
         ids = group["doc_id"].to_numpy()
         found = joining([np.frombuffer(x, np.uint64) for x in group["shingles"]], group["component"].to_numpy(), *_sides(group), percent)
         return np.array([(ids[a], ids[b]) for a, b in found], np.int64).reshape(-1, 2)
 
-    return _dealt(rows.join(sets, "doc_id")).mapInPandas(_grouped(compare, ["a", "b"]), "a long, b long").distinct()
+    return _dealt(sets).mapInPandas(_grouped(compare, ["a", "b"]), "a long, b long").distinct()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -51,10 +52,11 @@ def drop(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs."""
+def release(spark: SparkSession, wait: float = 0) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished jobs; executors do so a moment later, in ``wait`` seconds."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(wait)
 
 
 def width(spark: SparkSession) -> int:

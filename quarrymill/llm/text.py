@@ -23,7 +23,7 @@ _LOWER[65:91] += 32
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 #: Bytes of text that one pass handles: the working arrays are about 60 times that.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -32,8 +32,8 @@ def once_per_key(df: DataFrame, key: str | list[str], measure: str, how: str = "
 
 def last_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Semi-additive measures: the last row of each key. Ties in ``order`` are to be broken by its later columns."""
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    row = F.max_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(*order)).alias("_row")  # partial on each side of the shuffle
+    return df.groupBy(*keys).agg(row).select("_row.*")
 
 
 def latest_snapshot(df: DataFrame, snapshot: str) -> DataFrame:
@@ -48,10 +48,20 @@ def share_of_total(df: DataFrame, by: list[str], measure: str, alias: str) -> Da
     return groups.join(F.broadcast(total)).withColumn(alias, F.col(measure).cast("double") / F.nullif(F.col("_total").cast("double"), F.lit(0.0))).drop("_total")
 
 
+def exact(c: Column) -> Column:
+    """Amounts as wide decimals: sums of them don't depend on the order of rows."""
+    return c.cast("decimal(28,8)")
+
+
+def cents(total: Column) -> Column:
+    return F.round(total, 2).cast("decimal(28,2)")
+
+
 def group_sums(df: DataFrame, key: str, measure: str, keep: Column | None = None) -> DataFrame:
-    """(k, total): sums by key as decimals, so that they compare exactly; groups without a value are left out."""
+    """(k, total): sums by key as decimals, so that they compare exactly; rows are added in full and the sum is rounded
+    once. Groups without a value are left out."""
     df = df if keep is None else df.where(keep)
-    return df.groupBy(F.col(key).alias("k")).agg(F.sum(F.col(measure).cast("decimal(28,2)")).alias("total")).where("total is not null")
+    return df.groupBy(F.col(key).alias("k")).agg(cents(F.sum(exact(F.col(measure)))).alias("total")).where("total is not null")
 
 
 def close(a: Column, f: Column) -> Column:
@@ -79,14 +89,14 @@ def match_by_rank(agg: DataFrame, fact: DataFrame) -> DataFrame:
     return both.agg(F.count("*").alias("n_groups"), F.count(F.when(close(F.col("a").cast("double"), F.col("f").cast("double")), 1)).alias("n_matched"))
 
 
-def hypotheses(agg: DataFrame, fact: DataFrame, key: str, measure: str, status: str, values: list[str]) -> DataFrame:
+def hypotheses(agg: DataFrame, fact: DataFrame, key: str, measure: str, status: str, values: list[str], fact_key: str | None = None) -> DataFrame:
     """(excluded, n_groups, n_matched) for every status value left out of the fact, and for none, in one pass.
 
     ``agg`` is (k, total). All conditional sums come from one group-by; the fact is read once."""
-    amount = F.col(measure).cast("decimal(28,2)")
+    amount = exact(F.col(measure))
     names = [None, *values]
-    sums = [F.sum(amount if v is None else F.when(F.col(status) != v, amount)).alias(f"_s{i}") for i, v in enumerate(names)]
-    by_key = fact.groupBy(F.col(key).alias("k")).agg(*sums)
+    sums = [cents(F.sum(amount if v is None else F.when(F.col(status) != v, amount))).alias(f"_s{i}") for i, v in enumerate(names)]
+    by_key = fact.groupBy(F.col(fact_key or key).alias("k")).agg(*sums)
     both = agg.join(by_key, "k", "full_outer")
     each = F.explode(F.array(*[F.struct(F.lit(v).cast("string").alias("excluded"), F.lit(i).alias("nth"), F.col(f"_s{i}").alias("f")) for i, v in enumerate(names)]))
     stacked = both.select(F.col("total").alias("a"), each.alias("h")).where("a is not null or h.f is not null")

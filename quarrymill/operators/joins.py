@@ -6,23 +6,49 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.types import family
 
 
+def _whole(kind: T.DataType) -> bool:
+    return isinstance(kind, T.IntegralType)
+
+
 def canonical(df: DataFrame, column: str) -> Column:
-    """A value as text, the same for equal values of one type family: 1 and 1.00 are equal numbers."""
-    kind = family(df.schema[column].dataType)
+    """A value as text, the same for equal values of one type family: 1 and 1.00 are equal numbers. No digit is lost;
+    NaN is a value like any other."""
+    kind = df.schema[column].dataType
     c = F.col(f"`{column}`")
-    if kind == "num":
-        return F.regexp_replace(c.cast("decimal(38,10)").cast("string"), r"\.?0+$", "")
-    return c.cast("timestamp_ntz").cast("string") if kind == "temporal" else c.cast("string")
+    if family(kind) != "num" or _whole(kind):
+        return c.cast("timestamp_ntz").cast("string") if family(kind) == "temporal" else c.cast("string")
+    whole = F.floor(c).cast("decimal(38,0)")
+    if isinstance(kind, T.DecimalType):
+        part = c.cast("double")
+        text = F.when(part.cast(kind) == c, part.cast("string")).otherwise(F.regexp_replace(c.cast("string"), "0+$", ""))
+        return F.when(F.floor(c) == c, whole.cast("string")).otherwise(text)
+    return F.when((F.abs(c) < 1e38) & (c == F.floor(c)), whole.cast("string")).otherwise(c.cast("double").cast("string"))
+
+
+def comparable(a: DataFrame, x: str, b: DataFrame, y: str) -> tuple[Column, Column]:
+    """Two columns as one type in which equal values are equal: their own if they share it, else a common number;
+    text only where types are unlike."""
+    left, right = a.schema[x].dataType, b.schema[y].dataType
+    own = F.col(f"`{x}`"), F.col(f"`{y}`")
+    if left == right:
+        return own
+    if _whole(left) and _whole(right):
+        return own[0].cast("long"), own[1].cast("long")
+    if isinstance(left, T.FractionalType) and isinstance(right, T.FractionalType) and not T.DecimalType in (type(left), type(right)):
+        return own[0].cast("double"), own[1].cast("double")
+    return canonical(a, x), canonical(b, y)
 
 
 def inclusion(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
     """One row (n_distinct, misses, ratio): how much of the child's distinct non-null values the parent has."""
-    own = child.select(canonical(child, column).alias("v")).where("v is not null").distinct()
-    there = parent.select(canonical(parent, parent_column).alias("v")).where("v is not null").distinct()
+    mine, theirs = comparable(child, column, parent, parent_column)
+    own = child.select(mine.alias("v")).where("v is not null").distinct()
+    there = parent.select(theirs.alias("v")).where("v is not null").distinct()
     met = own.join(there.withColumn("hit", F.lit(1)), "v", "left").agg(F.count("*").alias("n_distinct"), F.count(F.when(F.col("hit").isNull(), 1)).alias("misses"))
     return met.withColumn("ratio", F.when(F.col("n_distinct") > 0, 1 - F.col("misses") / F.col("n_distinct")).otherwise(0.0))
 
@@ -34,8 +60,15 @@ def inclusion_matrix(columns: dict[str, tuple[DataFrame, str]], pairs: list[tupl
     then counts for every pair it belongs to, so no join is needed and a value in k columns is one row.
     """
     first = next(iter(columns.values()))[0].sparkSession
-    stacked = reduce(DataFrame.unionAll, [df.select(F.lit(family(df.schema[c].dataType)).alias("f"), canonical(df, c).alias("v"), F.lit(name).alias("c")).where("v is not null").distinct() for name, (df, c) in columns.items()])
-    held = stacked.groupBy("f", "v").agg(F.collect_set("c").alias("held"))
+    families: dict[str, list[tuple[str, DataFrame, str]]] = {}
+    for name, (df, c) in columns.items():
+        families.setdefault(family(df.schema[c].dataType), []).append((name, df, c))
+    each_held = []
+    for own in families.values():  # whole numbers as such, all else as text
+        whole = all(_whole(df.schema[c].dataType) for _, df, c in own)
+        stacked = reduce(DataFrame.unionAll, [df.select((F.col(f"`{c}`").cast("long") if whole else canonical(df, c)).alias("v"), F.lit(name).alias("c")).where("v is not null").distinct() for name, df, c in own])
+        each_held.append(stacked.groupBy("v").agg(F.collect_set("c").alias("held")).select("held"))
+    held = reduce(DataFrame.unionAll, each_held)
     wanted = F.broadcast(first.createDataFrame(pairs, "child string, parent string"))  # pairs of column names
     each = held.select(F.explode("held").alias("child"), "held").groupBy("child", "held").agg(F.count(F.lit(1)).alias("n"))
     met = each.join(wanted, "child").groupBy("child", "parent").agg(F.sum("n").alias("n_distinct"), F.sum(F.when(F.array_contains("held", F.col("parent")), F.col("n")).otherwise(0)).alias("matches"))
@@ -80,8 +113,9 @@ def last_before(left: DataFrame, right: DataFrame, keys: list[str], left_time: s
     return line.withColumn(alias, F.last("_v", True).over(w)).where("_side = 1").select(*left.columns, alias)
 
 
-def overlaps(versions: DataFrame, keys: list[str], valid_from: str, valid_to: str) -> DataFrame:
-    """Versions that begin before an earlier one of their key ends: a window, not a self-join."""
-    w = Window.partitionBy(*keys).orderBy(valid_from).rowsBetween(Window.unboundedPreceding, -1)
+def overlaps(versions: DataFrame, keys: list[str], valid_from: str, valid_to: str, ties: list[str] | None = None) -> DataFrame:
+    """Versions that begin before an earlier one of their key ends: a window, not a self-join. Of versions that begin
+    at once the first by ``ties`` counts as the earlier one."""
+    w = Window.partitionBy(*keys).orderBy(valid_from, *(ties or [])).rowsBetween(Window.unboundedPreceding, -1)
     open_end = F.max(F.col(valid_to).isNull()).over(w)
     return versions.withColumn("_end", F.max(valid_to).over(w)).withColumn("_open", open_end).where(F.col("_open") | (F.col(valid_from) <= F.col("_end"))).drop("_end", "_open")

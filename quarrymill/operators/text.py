@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -11,9 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+#: Characters that part words.
+BETWEEN = r"[^\p{L}\p{N}_]"
+
+
 def tokens(text: Column) -> Column:
-    """Distinct lower-cased word tokens of more than two characters."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda t: F.length(t) > 2))
+    """Distinct lower-cased word tokens of more than two characters, of any alphabet."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), f"{BETWEEN}+"), lambda t: F.length(t) > 2))
 
 
 def chunks(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -27,8 +33,11 @@ def chunks(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def overlap(docs: DataFrame, query: str, text: str = "text", k: int = 10, key: str = "doc_id") -> DataFrame:
     """The ``k`` rows that share most tokens with ``query``, ties by key."""
-    wanted = sorted({t for t in "".join(c if c.isascii() and (c.isalnum() or c == "_") else " " for c in query.lower()).split() if len(t) > 2})
-    score = F.size(F.array_intersect(tokens(F.col(text)), F.array(*[F.lit(t) for t in wanted]).cast("array<string>")))
+    wanted = sorted({t for t in re.split(r"\W+", query.lower()) if len(t) > 2})
+    low = F.lower(F.col(text))
+    # a plain search first: most texts lack most words, and only those that have the letters are looked at closely
+    found = [F.when(F.contains(low, F.lit(t)), low.rlike(f"(^|{BETWEEN}){re.escape(t)}($|{BETWEEN})")).otherwise(False).cast("int") for t in wanted]
+    score = reduce(lambda a, b: a + b, found, F.lit(0))
     return docs.select(key, score.alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(k)
 
 

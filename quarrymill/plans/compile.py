@@ -16,7 +16,8 @@ GRAINS = ("day", "week", "month", "quarter", "year")
 HOPS, SHOWN = 3, 25
 UNUSABLE = ("deprecated", "orphaned")
 _WORD = re.compile(r"'(?:[^']|'')*'|`[^`]+`(?:\.`[^`]+`)?|[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)?\s*\(?|[0-9.]+")
-_KEYWORDS = frozenset("and or not in like is null between true false case when then else end date timestamp".split())
+_KEYWORDS = frozenset("and or not in like is null between true false case when then else end".split())
+_OF_CASE = frozenset("when then else end".split())
 
 
 @dataclass
@@ -142,8 +143,9 @@ class _Request:
             raise _No(f"not a condition: {text!r}")
 
         def word(m: re.Match) -> str:
-            w = m[0]
-            if w[0] in "'0123456789." or w.lower().strip() in _KEYWORDS:
+            w, low = m[0], m[0].lower().strip()
+            typed = low in ("date", "timestamp") and text[m.end() :].lstrip()[:1] == "'"  # else a column of that name
+            if w[0] in "'0123456789." or typed or low in (_KEYWORDS if re.search(r"\bcase\b", text, re.I) else _KEYWORDS - _OF_CASE):
                 return w
             if w.rstrip().endswith("("):
                 if w[:-1].strip().lower() in ("in", "and", "or", "not", "when", "then", "else", "between", "like", "is", "case"):
@@ -199,7 +201,7 @@ class _Request:
             agg = agg if agg in aggregates.AGGS else "sum"
             column, sql = self.columns(t)[c], _quoted(t, c)
             if agg == "sum" and column.get("semantic_type") == "monetary_value" and column.get("sql_type") in ("DOUBLE", "FLOAT"):
-                sql = f"CAST({sql} AS DECIMAL(18,2))"  # exact, whatever the order of rows
+                return f"CAST(round(sum(CAST({sql} AS DECIMAL(28,8))), 2) AS DECIMAL(28,2))"  # exact, whatever the order of rows
             return f"count(DISTINCT {sql})" if agg == "count_distinct" else f"{agg}({sql})"
 
         if self.kind == "ratio":

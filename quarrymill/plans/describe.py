@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 # Fixed values.
-TABLE_TYPES = ("fact", "dimension", "bridge", "scd2", "snapshot", "aggregate", "staging", "ops", "denormalized", "unknown")
+TABLE_TYPES = ("fact", "dimension", "aggregate", "denormalized", "staging", "operational", "snapshot_scd2", "unknown")
 
 
 def describe(doc: dict, stats, provider) -> int:

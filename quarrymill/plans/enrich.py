@@ -15,6 +15,8 @@ from .link import Stats
 LABEL_SUFFIXES = ("_desc", "_nm", "_name", "_label")
 DECODE_ROWS, DECODE_COLUMNS = 100, 3
 RETIRED = re.compile(r"^(.*?)_(legacy|old|bak|deprecated|archive)$")
+#: Groups from which an aggregate table is not verified.
+GROUPS = 50_000
 COMPLETED = ("complete", "closed", "success", "paid")
 SNAPSHOTS = ("snap_dt", "snapshot_dt", "as_of_dt")
 AGGREGATE_NAME = re.compile(r"(?:^|_)(?:agg|summary|rollup)(?:_|$)|^(?:dly|mth|wkly)_")
@@ -132,8 +134,9 @@ def metrics(doc: dict) -> None:
 def aggregate_tables(doc: dict, stats: Stats, source) -> None:
     """Aggregate tables that reconcile with a fact, group by group; a filter that makes them do so is a business rule.
 
-    A grouping is a column of the same name in both, or a date key against a date. Each fact and measure is read once
-    for all status hypotheses. Nothing is routed: the status stays advisory."""
+    A grouping is a column of the same name in both, or a date key against a date. For a grouping by equal keys a fact
+    is read once for all hypotheses about a status; sums that are paired by rank take a read each. Aggregate tables of
+    GROUPS groups or more stay unverified. Nothing is routed: the status stays advisory."""
     out = doc.setdefault("aggregate_tables", [])
     facts = [t for t in _active(doc) if t["table_type"] == "fact"]
     for agg in _active(doc):
@@ -168,18 +171,27 @@ def _reconcile(agg: dict, fact: dict, a: str, m: str, stats: Stats, source) -> t
     status = [(c["name"], [str(v["value"]) for v in c.get("enum_values", [])][: A.STATUSES]) for c in fact["columns"] if c["semantic_type"] == "status_code"]
     status = [(c, [str(v) for v, _ in stats[fact["name"]][c].top_values][: A.STATUSES] or v) for c, v in status]
     left, right = source.df(agg["name"]), source.df(fact["name"])
-    for rule, keep in [(None, None), *[(f"{c} <> '{v}'", F.col(c) != v) for c, values in status for v in values]]:
-        good = True
-        for x, y, ranked in groups:
-            mine = A.group_sums(left, x, a)
-            theirs = A.group_sums(right.withColumn(y, F.to_date(y)) if ranked else right, y, m, keep)
-            row = (A.match_by_rank if ranked else A.match_by_key)(mine, theirs).first()
-            good = row["n_groups"] > 0 and row["n_matched"] >= A.COVERED * row["n_groups"]
-            if not good:
-                break
-        if good:
-            return a, m, [x for x, _, _ in groups], rule
-    return None
+    fits: dict[str | None, bool] = {}
+    for x, y, ranked in groups:
+        mine = A.group_sums(left, x, a)
+        if mine.limit(GROUPS).count() >= GROUPS:
+            return None  # too many groups to verify
+        if ranked:
+            theirs = right.withColumn(y, F.to_date(y))
+            for rule in [None, *[(c, v) for c, values in status for v in values]]:
+                if fits.get(rule, True):
+                    row = A.match_by_rank(mine, A.group_sums(theirs, y, m, None if rule is None else F.col(rule[0]) != rule[1])).first()
+                    fits[rule] = row["n_groups"] > 0 and row["n_matched"] >= A.COVERED * row["n_groups"]
+        else:  # all values of a status in one pass over the fact
+            for c, values in status or [(None, [])]:
+                for row in A.hypotheses(mine, right, x, m, c or y, values, y).collect():
+                    rule = None if row["excluded"] is None else (c, row["excluded"])
+                    good = row["n_groups"] > 0 and row["n_matched"] >= A.COVERED * row["n_groups"]
+                    fits[rule] = fits.get(rule, True) and good
+    if fits.get(None):
+        return a, m, [x for x, _, _ in groups], None
+    found = next(((c, v) for c, values in status for v in values if fits.get((c, v))), None)
+    return (a, m, [x for x, _, _ in groups], f"{found[0]} <> '{found[1]}'") if found else None
 
 
 def _scope(doc: dict, fact: dict, rule: str) -> None:
@@ -230,7 +242,7 @@ def routing(doc: dict) -> None:
 def snapshot_filters(doc: dict) -> None:
     for t in doc["tables"]:
         on = next((c["name"] for c in t["columns"] if c["name"].lower() in SNAPSHOTS), None)
-        if on and t["table_type"] in ("scd2", "snapshot"):
+        if on and t["table_type"] == "snapshot_scd2":
             known = t.setdefault("knowledge", {}).setdefault("required_filters", [])
             known.append({"expr": f"{on} = (SELECT max({on}) FROM {t['name']})", "enforcement": "advisory", "reason": "one row a key and snapshot"})
 

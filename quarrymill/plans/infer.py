@@ -8,12 +8,12 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import SparkSession
 
 from ..operators.profile import ColumnStats, profile_table
-from ..sources.context import Bundle, apply_dictionary, decode_claims, ratio_claims
+from ..sources.context import BUDGET, Bundle, apply_dictionary, decode_claims, promote, ratio_claims
 from . import enrich as E
 from . import link as L
 from .describe import describe
 from .model import new
-from .typing import escalate, table_document
+from .typing import escalate, recheck, table_document
 
 
 @dataclass
@@ -46,6 +46,8 @@ def infer(spark: SparkSession, source, name: str, provider=None, context: Bundle
         timed("escalate", lambda: [escalate(t, stats[t["name"]], provider, send_values) for t in doc["tables"]])
     if context:
         apply_dictionary(doc, context)
+        if provider is not None:
+            report.counts["promoted"] = timed("promote", lambda: promote(doc, context, lambda t, c, text: recheck(t, c, text[:BUDGET], provider)))
     decision = timed("link", lambda: L.link(spark, doc, stats, source, provider, key_suffixes))
     if provider is not None:
         timed("describe", lambda: describe(doc, stats, provider))
@@ -54,7 +56,9 @@ def infer(spark: SparkSession, source, name: str, provider=None, context: Bundle
         decode_claims(doc, context)
         ratio_claims(doc, context)
     report.audit = {k: [f"{'.'.join(c.child)} -> {'.'.join(c.parent)}" for c in v] for k, v in decision.items()}
-    report.counts = {"tables": len(doc["tables"]), "columns": sum(len(t["columns"]) for t in doc["tables"]), "relationships": len(doc["relationships"]), "metrics": len(doc["metrics"])}
+    if tenants := collapse_tenants(doc):
+        doc["tenant_templates"] = tenants
+    report.counts |= {"tables": len(doc["tables"]), "columns": sum(len(t["columns"]) for t in doc["tables"]), "relationships": len(doc["relationships"]), "metrics": len(doc["metrics"])}
     report.llm_calls = getattr(provider, "calls", 0)
     return doc, report
 

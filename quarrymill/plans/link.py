@@ -20,6 +20,8 @@ RECURSIVE = ("mgr", "manager", "parent", "sup", "boss", "report", "referrer", "r
 STAGING, OPS = ("stg", "staging", "raw", "tmp", "temp"), ("etl", "log", "audit", "job", "run", "batch")
 AGGREGATE = ("agg", "summary", "rollup", "dly", "daily", "mth", "monthly", "wkly", "weekly")
 DIMENSION, SNAPSHOT = ("dim", "ref", "mstr", "master", "lookup", "xref"), ("snpsht", "snapshot", "snap", "hist", "history")
+#: Columns from which a table counts as denormalized.
+WIDE = 50
 MARKERS = ("snap_dt", "snapshot_dt", "is_current", "is_curr")
 
 Stats = dict[str, dict[str, ColumnStats]]
@@ -166,27 +168,29 @@ def hierarchies(doc: dict, stats: Stats, source) -> None:
 
 
 def table_type(table: dict, out_links: int, in_links: int) -> str:
-    """The first rule that applies."""
+    """By name first, then by columns, then by links and measures; the first sign decides."""
     name, columns = table["name"].lower(), [c["name"].lower() for c in table["columns"]]
     measures = sum(c["entity_role"] == "measure" for c in table["columns"])
-    versioned, marked = has_validity(columns), any(c in MARKERS or c.startswith(("is_curr", "snap_")) for c in columns)
-    rules = [
-        (has(name, *STAGING), "staging"),
-        (has(name, *OPS) and not in_links, "ops"),
-        (versioned, "scd2"),
-        (has(name, *SNAPSHOT) or any(c in MARKERS[:2] for c in columns), "snapshot"),
-        (has(name, *AGGREGATE), "aggregate"),
-        (has(name, *DIMENSION), "dimension"),
-        (len(columns) > 50, "denormalized"),
-        (marked, "snapshot"),
-        (out_links >= 2 and measures >= 1, "fact"),
-        (out_links >= 1 and measures >= 1 and not in_links, "fact"),
-        (in_links >= 1 and out_links <= in_links, "dimension"),
-        (out_links >= 2, "bridge"),
-        (in_links >= 1, "dimension"),
-        (measures >= 1 and out_links >= 1, "fact"),
-    ]
-    return next((kind for on, kind in rules if on), "unknown")
+    isolated = not out_links and not in_links
+    if has(name, *STAGING):
+        return "staging"
+    if has(name, *OPS) and not in_links:
+        return "operational"
+    if has_validity(columns) or has(name, *SNAPSHOT) or set(MARKERS) & set(columns):
+        return "snapshot_scd2"
+    if has(name, *AGGREGATE) and measures:
+        return "aggregate"
+    if has(name, *DIMENSION):
+        return "dimension"
+    if len(columns) > WIDE:
+        return "denormalized"
+    if measures and (out_links >= 2 or out_links == 1 and not in_links):
+        return "fact"
+    if not measures and (in_links or len(columns) <= 4 and any(c.endswith(("_name", "_nm")) for c in columns)):
+        return "dimension"
+    if measures >= 2:
+        return "fact"
+    return "operational" if isolated and not measures else "unknown"
 
 
 def link(spark: SparkSession, doc: dict, stats: Stats, source, provider=None, key_suffixes: tuple[str, ...] = ()) -> dict[str, list[Candidate]]:
@@ -200,7 +204,7 @@ def link(spark: SparkSession, doc: dict, stats: Stats, source, provider=None, ke
         outgoing = sum(r["from"]["table"] == t["name"] for r in doc["relationships"])
         incoming = sum(r["to"]["table"] == t["name"] for r in doc["relationships"])
         t["table_type"] = table_type(t, outgoing, incoming)
-        if t["table_type"] == "scd2":
+        if t["table_type"] == "snapshot_scd2" and has_validity([c["name"].lower() for c in t["columns"]]):
             names = {c["name"].lower(): c["name"] for c in t["columns"]}
             start = next((names[c] for c in names if c in ("eff_start_dt", "valid_from") or c.endswith("_start_dt")), None)
             end = next((names[c] for c in names if c in ("eff_end_dt", "valid_to") or c.endswith("_end_dt")), None)

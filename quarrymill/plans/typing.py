@@ -119,7 +119,7 @@ def _by_text(s: ColumnStats) -> Typing | None:
         return Typing("free_text", "metadata", 0.6, "statistic", "long texts")
     if 0 < s.n_distinct <= FEW and s.row_count > 100:
         return Typing("enum", "dimension", 0.6, "statistic", "few texts in many rows")
-    return Typing("date", "dimension", 0.5, "naming", "date-like name") if has(s.name, "dt", "date", "day", "mth", "month") else None
+    return Typing("date", "dimension", 0.5, "naming", "date-like name") if has(s.name, "dt", "date") else None
 
 
 RULES: list[Callable[[ColumnStats], Typing | None]] = [_by_values, _by_kind, _by_key_name, _by_name, _by_numbers, _by_text]
@@ -170,3 +170,11 @@ def escalate(table: dict, stats: dict[str, ColumnStats], provider, send_values:
         c["provenance"].append({"signal": "llm", "detail": "typed by a language model"})
         changed += 1
     return changed
+
+
+def recheck(table: dict, column: dict, text: str, provider) -> str | None:
+    """What a language model takes a column for that ``text`` speaks of; nothing if it is no known type."""
+    system = "A document speaks of a warehouse column. Answer with a JSON object {semantic_type}. Types: " + ", ".join(SEMANTIC_TYPES)
+    answer = provider.json(system, json.dumps({"table": table["name"], "name": column["name"], "sql_type": column["sql_type"], "type": column["semantic_type"], "text": text}))
+    kind = answer.get("semantic_type") if isinstance(answer, dict) else None
+    return kind if kind in SEMANTIC_TYPES else None

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -138,9 +139,9 @@ def inclusion_matrix(spark, sf_dir):
     return joins.inclusion_matrix(columns, [(f"{a}.{b}", f"{c}.{d}") for (a, b), (c, d) in _PAIRS])
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def orphan_anti(spark, sf_dir):
-    return joins.orphans(_t(spark, sf_dir, "customer"), "c_custkey", _t(spark, sf_dir, "orders"), "o_custkey").select("c_custkey", "c_name")
+    return joins.orphans(_t(spark, sf_dir, "documents"), "doc_id", _t(spark, sf_dir, "labels"), "doc_id").select("doc_id", "lang")
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
@@ -183,18 +184,24 @@ def asof_last_value(spark, sf_dir):
     return joins.last_before(e.where("event_type = 'purchase'").select("user_id", "event_id", "ts"), seen, ["user_id"], "ts", "seen_at", "value", "last_view").select("event_id", "last_view")
 
 
-@query(f"WITH v AS ({_VERSIONS_SQL}) SELECT count(*) AS n_overlaps FROM v a JOIN v b ON a.user_id = b.user_id AND a.version <> b.version AND a.valid_from <= b.valid_from AND (a.valid_from < b.valid_from OR a.version < b.version) AND (a.valid_to IS NULL OR b.valid_from <= a.valid_to)")
+_MONTHS_SQL = "SELECT user_id, event_id AS version, ts AS valid_from, ts + INTERVAL 30 DAY AS valid_to FROM events WHERE event_type = 'signup'"
+
+
+@query(f"WITH v AS ({_MONTHS_SQL}) SELECT b.version FROM v b WHERE EXISTS (SELECT 1 FROM v a WHERE a.user_id = b.user_id AND (a.valid_from, a.version) < (b.valid_from, b.version) AND b.valid_from <= a.valid_to)")
 def scd2_overlap(spark, sf_dir):
-    return joins.overlaps(_versions(spark, sf_dir), ["user_id"], "valid_from", "valid_to").agg(F.count("*").alias("n_overlaps"))
+    """Versions of a month each that begin before an earlier one of their key ends."""
+    v = _t(spark, sf_dir, "events").where("event_type = 'signup'").selectExpr("user_id", "event_id as version", "ts as valid_from", "ts + interval 30 days as valid_to")
+    return joins.overlaps(v, ["user_id"], "valid_from", "valid_to", ["version"]).select("version")
 
 
 # --- aggregates ----------------------------------------------------------------------------------------------------
 
-_MONEY = "CAST(o_totalprice AS DECIMAL(18,2))"
+_MONEY = "CAST(o_totalprice AS DECIMAL(28,8))"
+_CENTS = f"CAST(round(sum({_MONEY}), 2) AS DECIMAL(28,2))"
 
 
 @query(
-    f"WITH a AS (SELECT o_custkey AS k, CAST(sum({_MONEY}) AS DECIMAL(28,2)) AS t FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1), f AS (SELECT o_custkey AS k, CAST(sum({_MONEY}) AS DECIMAL(28,2)) AS t FROM orders GROUP BY 1) "
+    f"WITH a AS (SELECT o_custkey AS k, {_CENTS} AS t FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1), f AS (SELECT o_custkey AS k, {_CENTS} AS t FROM orders GROUP BY 1) "
     "SELECT count(*) AS n_groups, count(*) FILTER (abs(a.t - f.t)::DOUBLE <= greatest(0.02, 0.002 * abs(a.t::DOUBLE))) AS n_matched FROM a FULL OUTER JOIN f ON a.k = f.k"
 )
 def reconcile_keyed(spark, sf_dir):
@@ -203,7 +210,7 @@ def reconcile_keyed(spark, sf_dir):
 
 
 @query(
-    f"WITH a AS (SELECT CAST(strftime(o_orderdate, '%Y%m%d') AS INTEGER) AS k, CAST(sum({_MONEY}) AS DECIMAL(28,2)) AS t FROM orders GROUP BY 1), f AS (SELECT CAST(o_orderdate AS DATE) AS k, CAST(sum({_MONEY}) AS DECIMAL(28,2)) AS t FROM orders GROUP BY 1), "
+    f"WITH a AS (SELECT CAST(strftime(o_orderdate, '%Y%m%d') AS INTEGER) AS k, {_CENTS} AS t FROM orders GROUP BY 1), f AS (SELECT CAST(o_orderdate AS DATE) AS k, {_CENTS} AS t FROM orders GROUP BY 1), "
     "ar AS (SELECT t, row_number() OVER (ORDER BY t) AS r FROM a), fr AS (SELECT t, row_number() OVER (ORDER BY t) AS r FROM f) "
     "SELECT count(*) AS n_groups, count(*) FILTER (abs(ar.t - fr.t)::DOUBLE <= greatest(0.02, 0.002 * abs(ar.t::DOUBLE))) AS n_matched FROM ar FULL OUTER JOIN fr ON ar.r = fr.r"
 )
@@ -330,9 +337,25 @@ def stale_load(spark, sf_dir):
     return drift.stale(_t(spark, sf_dir, "events"), "ts", "daily", date(2024, 2, 10))
 
 
-@query("SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2")
+@query("SELECT g.expected, f.found, count(*) AS n FROM (SELECT doc_id, quality AS expected FROM labels) g LEFT JOIN (SELECT doc_id, CAST(n_chars > 1000 AS INTEGER) AS found FROM documents) f ON g.doc_id = f.doc_id GROUP BY 1, 2")
 def confusion_matrix(spark, sf_dir):
-    return _t(spark, sf_dir, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
+    """Quality labels against a rule of length."""
+    from .plans import scoring
+
+    guess = _t(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") > 1000).cast("int").alias("quality"))
+    return scoring.confusion(guess, _t(spark, sf_dir, "labels"), ["doc_id"], "quality")
+
+
+@query("SELECT count(*) AS n_users, CAST(sum(CASE WHEN d.n IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_wrong_filter, CAST(sum(o.n) AS BIGINT) AS n_naive, CAST(sum(o.last) AS BIGINT) AS n_right FROM (SELECT user_id, count(*) AS n, 1 AS last FROM events WHERE event_type = 'signup' GROUP BY 1) o LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1) d ON o.user_id = d.user_id")
+def scd2_canary(spark, sf_dir):
+    """Users counted by version rows, the wrong answer, beside users counted by their last version, the right one."""
+    e = _t(spark, sf_dir, "events")
+    signups = e.where("event_type = 'signup'")
+    last = A.last_per_key(signups, ["user_id"], ["ts", "event_id"]).groupBy("user_id").agg(F.count("*").alias("last"))
+    naive = signups.groupBy("user_id").agg(F.count("*").alias("n"))
+    bought = e.where("event_type = 'purchase'").select("user_id").distinct().withColumn("b", F.lit(1))
+    both = naive.join(last, "user_id").join(bought, "user_id", "left")
+    return both.agg(F.count("*").alias("n_users"), F.sum(F.when(F.col("b").isNull(), 1).otherwise(0)).alias("n_wrong_filter"), F.sum("n").alias("n_naive"), F.sum("last").alias("n_right"))
 
 
 # --- hierarchies ---------------------------------------------------------------------------------------------------
@@ -355,16 +378,21 @@ def bom_explosion(spark, sf_dir):
     return hierarchy.explode_bom(tree, spark.createDataFrame([(1,)], "root long"), "up", "id", "qty")
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT n_nationkey AS p, (n_nationkey * 2 + 1) % 25 AS c FROM nation WHERE n_nationkey % 4 <> 0), w AS (SELECT p AS id, c AS cur, 1 AS n FROM e UNION SELECT w.id, e.c, n + 1 FROM w JOIN e ON w.cur = e.p WHERE w.cur <> w.id AND n < 20) SELECT DISTINCT id FROM w WHERE id = cur")
+_RING = "SELECT DISTINCT n_nationkey AS p, (n_nationkey * 2 + 1) % 25 AS c FROM nation WHERE n_nationkey % 4 <> 0 OR n_nationkey = 24 UNION SELECT n_nationkey + 100, (n_nationkey + 1) % 25 + 100 FROM nation"
+
+
+@query(f"WITH RECURSIVE e AS ({_RING}), w AS (SELECT p AS id, c AS cur FROM e UNION SELECT w.id, e.c FROM w JOIN e ON w.cur = e.p) SELECT DISTINCT id FROM w WHERE id = cur")
 def cycle_check(spark, sf_dir):
-    n = _t(spark, sf_dir, "nation").where("n_nationkey % 4 <> 0").selectExpr("n_nationkey as p", "(n_nationkey * 2 + 1) % 25 as c")
-    return hierarchy.in_cycles(n, "p", "c")
+    """A ring of 25 nodes, a node that leads to itself, and paths that end."""
+    n = _t(spark, sf_dir, "nation")
+    paths = n.where("n_nationkey % 4 <> 0 or n_nationkey = 24").selectExpr("n_nationkey as p", "(n_nationkey * 2 + 1) % 25 as c")
+    return hierarchy.in_cycles(paths.unionAll(n.selectExpr("n_nationkey + 100", "(n_nationkey + 1) % 25 + 100")), "p", "c")
 
 
 # --- text ----------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, CAST(len(list_intersect(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda t: length(t) > 2)), ['and', 'ing', 'the', 'tion', 'with'])) AS INTEGER) AS score FROM documents WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10")
+@query("SELECT doc_id, CAST(len(list_intersect(list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda t: length(t) > 2)), ['and', 'ing', 'the', 'tion', 'with'])) AS INTEGER) AS score FROM documents WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10")
 def token_overlap_search(spark, sf_dir):
     return text.overlap(_t(spark, sf_dir, "documents"), "the and with tion ing")
 
@@ -374,7 +402,10 @@ def html_text(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", text.html_text("html").alias("text"))
 
 
-@query()
+@query(
+    "WITH p AS (SELECT doc_id, unnest(string_split(regexp_replace(chr(10) || text, '\\n(#{1,6} )', chr(1) || '\\1', 'g'), chr(1))) AS part, generate_subscripts(string_split(regexp_replace(chr(10) || text, '\\n(#{1,6} )', chr(1) || '\\1', 'g'), chr(1)), 1) - 1 AS position FROM documents) "
+    "SELECT doc_id, CAST(position AS INTEGER) AS position, nullif(regexp_extract(part, '^#{1,6} ([^\\n]*)', 1), '') AS heading, trim(regexp_replace(part, '^#{1,6} [^\\n]*\\n?|^\\n', ''), ' ') AS body FROM p WHERE trim(regexp_replace(part, '\\s+', ' ', 'g')) <> ''"
+)
 def chunk_headings(spark, sf_dir):
     return text.chunks(_t(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -392,7 +423,7 @@ def _metric(key: str, sql: str, metric: str, **kw):
     query(sql, key)(run)
 
 
-_SUM = f"CAST(sum({_MONEY}) AS DECIMAL(28,2))"
+_SUM = _CENTS
 _metric("metric_simple", f"SELECT {_SUM} AS revenue FROM orders WHERE o_orderstatus <> 'P'", "revenue")
 _metric("metric_group", f"SELECT o_orderpriority, {_SUM} AS revenue FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1", "revenue", group_by=["orders.o_orderpriority"])
 _metric("metric_count_distinct", "SELECT o_orderstatus, count(DISTINCT o_custkey) AS buyers FROM orders GROUP BY 1", "buyers", group_by=["orders.o_orderstatus"])
@@ -429,21 +460,23 @@ def model_tables(spark, sf_dir):
     return columns_frame(spark, driver_model())
 
 
-@query()
+@query("SELECT 'table_dropped' AS kind, 'region' AS \"table\", CAST(NULL AS VARCHAR) AS \"column\", '' AS detail UNION ALL SELECT 'column_dropped', 'nation', 'n_regionkey', 'INTEGER' UNION ALL SELECT 'column_added', 'nation', 'n_zone', 'INTEGER'")
 def schema_diff(spark, sf_dir):
+    """A table goes, and a column of another is renamed."""
     before = ParquetDir(spark, sf_dir).tables()
-    after = [t for t in before if t.name != "region"]
+    renamed = [replace(t, columns=tuple(("n_zone", k) if c == "n_regionkey" else (c, k) for c, k in t.columns)) if t.name == "nation" else t for t in before]
+    after = [t for t in renamed if t.name != "region"]
     return drift.schema_diff(drift.schema_rows(spark, before), drift.schema_rows(spark, after))
 
 
-@query()
+@query("WITH RECURSIVE uses(element, needs) AS (VALUES ('relationship:orders_to_customer', 'customer.c_custkey'), ('metric:revenue', 'orders.o_totalprice')), w AS (SELECT element, 1 AS depth FROM uses WHERE needs = 'customer.c_custkey' UNION SELECT u.element, depth + 1 FROM w JOIN uses u ON u.needs = w.element) SELECT element, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1")
 def blast_radius(spark, sf_dir):
     from .plans.drift import blast_radius
 
     return spark.createDataFrame(sorted(blast_radius(driver_model(), "customer.c_custkey").items()), "element string, depth int")
 
 
-@query()
+@query("WITH RECURSIVE e(a, b) AS (VALUES ('lineitem', 'orders'), ('orders', 'customer'), ('customer', 'nation'), ('nation', 'region')), w AS (SELECT 'orders' AS name, 0 AS step UNION ALL SELECT e.b, step + 1 FROM w JOIN e ON e.a = w.name WHERE w.name <> 'region') SELECT CAST(step AS INTEGER) AS step, name FROM w")
 def join_path(spark, sf_dir):
     from .plans.graph import join_path
 
@@ -455,3 +488,86 @@ def domains(spark, sf_dir):
     from .plans.enrich import domains
 
     return spark.createDataFrame([(d["name"], d["tables"]) for d in domains(driver_model())], "name string, tables array<string>")
+
+
+@query("SELECT table_name AS \"table\", column_name AS \"column\", CASE WHEN data_type LIKE 'TIMESTAMP%' THEN 'TIMESTAMP' ELSE data_type END AS sql_type FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations')")
+def list_tables(spark, sf_dir):
+    """All tables of the folder with their columns and types."""
+    from .functions.types import render
+
+    rows = [(t.name, c, "TIMESTAMP" if render(k).startswith("TIMESTAMP") else render(k)) for t in ParquetDir(spark, sf_dir).tables() for c, k in t.columns]
+    return spark.createDataFrame(rows, "table string, column string, sql_type string")
+
+
+_RATED = ("o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", 1 - count({c})::DOUBLE / count(*) AS null_rate, count(DISTINCT {c})::DOUBLE / count({c}) AS cardinality_ratio FROM orders" for c in _RATED))
+def profile_rates(spark, sf_dir):
+    stats = profile.profile_table(_t(spark, sf_dir, "orders").select(*_RATED))
+    return spark.createDataFrame([(c, float(x.null_rate), float(x.cardinality_ratio)) for c, x in stats.items()], "column string, null_rate double, cardinality_ratio double")
+
+
+_REQUESTS = [
+    ("known", "revenue", {}, False),
+    ("unknown metric", "nothing", {}, True),
+    ("unknown column", "revenue", {"group_by": ["orders.o_nothing"]}, True),
+    ("fan-out", "revenue", {"group_by": ["lineitem.l_returnflag"]}, True),
+    ("measure as a group", "revenue", {"group_by": ["orders.o_totalprice"]}, True),
+    ("unknown grain", "revenue", {"time_grain": "decade"}, True),
+    ("function in a condition", "revenue", {"extra_filter": "sleep(1) = 0"}, True),
+    ("statement in a condition", "revenue", {"extra_filter": "1 = 1; drop table orders"}, True),
+    ("subquery in a condition", "revenue", {"extra_filter": "o_custkey in (select 1)"}, True),
+    ("fiscal without a column", "revenue", {"time_grain": "month", "calendar": "fiscal"}, True),
+    ("condition of a dimension", "revenue", {"extra_filter": "customer.c_mktsegment = 'BUILDING'"}, False),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{name}', {refused})" for name, _, _, refused in _REQUESTS) + ") t(request, refused)")
+def metric_refusals(spark, sf_dir):
+    """Which requests the compiler refuses."""
+    source = ParquetDir(spark, sf_dir)
+    told = [(name, isinstance(C.compile_metric(driver_model(), metric, source=source, **kw), C.Refusal)) for name, metric, kw, _ in _REQUESTS]
+    return spark.createDataFrame(told, "request string, refused boolean")
+
+
+_TYPED = [
+    ("stg_orders", ["id"], ["amount"], 2, 0, "staging"),
+    ("etl_run", ["id"], [], 0, 0, "operational"),
+    ("etl_run", ["id", "n", "m", "k", "l"], [], 0, 1, "dimension"),
+    ("store", ["id", "valid_from", "valid_to"], [], 1, 1, "snapshot_scd2"),
+    ("store_hist", ["id"], ["n"], 2, 0, "snapshot_scd2"),
+    ("stock", ["id", "is_current"], [], 0, 0, "snapshot_scd2"),
+    ("sales_daily", ["day"], ["amount"], 1, 0, "aggregate"),
+    ("store_mstr", ["id"], ["area"], 2, 0, "dimension"),
+    ("wide", [f"c{i}" for i in range(51)], [], 0, 0, "denormalized"),
+    ("sales", ["a", "b"], ["amount"], 2, 3, "fact"),
+    ("sales", ["a", "b"], ["amount"], 1, 0, "fact"),
+    ("colour", ["id", "colour_nm"], [], 0, 0, "dimension"),
+    ("meter", ["id"], ["low", "high"], 0, 0, "fact"),
+    ("lonely", ["id"], [], 0, 0, "operational"),
+    ("meter", ["id"], ["low"], 0, 0, "unknown"),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{x[5]}')" for i, x in enumerate(_TYPED)) + ") t(nth, table_type)")
+def table_types(spark, sf_dir):
+    """Types of tables by names, columns and links."""
+    from .plans.link import table_type
+
+    told = []
+    for i, (name, plain, measures, out, incoming, _) in enumerate(_TYPED):
+        columns = [{"name": c, "entity_role": "dimension"} for c in plain] + [{"name": c, "entity_role": "measure"} for c in measures]
+        told.append((i, table_type({"name": name, "columns": columns}, out, incoming)))
+    return spark.createDataFrame(told, "nth int, table_type string")
+
+
+_KEYS = "benchmark.item_id customer.c_custkey documents.doc_id embeddings.vec_id events.event_id nation.n_nationkey orders.o_orderkey pages.page_id part.p_partkey region.r_regionkey supplier.s_suppkey".split()
+_LINKS = [("customer.c_nationkey", "nation.n_nationkey"), ("labels.doc_id", "documents.doc_id"), ("nation.n_regionkey", "region.r_regionkey"), ("supplier.s_nationkey", "nation.n_nationkey")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', 'primary_key', NULL)" for k in _KEYS) + ", " + ", ".join(f"('{a}', 'foreign_key', '{b}')" for a, b in _LINKS) + ") t(\"column\", role, \"references\")")
+def infer_keys(spark, sf_dir):
+    """Keys and the links between tables that inference finds, against those that the tables are made with."""
+    found = infer_columns(spark, sf_dir).where("entity_role = 'primary_key' or references is not null")
+    return found.select(F.concat_ws(".", "table", "column").alias("column"), F.col("entity_role").alias("role"), "references")

@@ -6,7 +6,7 @@ import csv
 import glob
 import io
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 from ..operators.text import strip_html
@@ -83,14 +83,14 @@ def load_context(specs: list[str]) -> Bundle:
 
 
 def excerpts(bundle: Bundle, words: set[str], budget: int = BUDGET) -> list[Chunk]:
-    """Chunks that share most words, best first, as many as fit."""
-    ranked = sorted(bundle.chunks, key=lambda c: -len(c.tokens & words))
+    """Chunks that share most words, best first, as many as fit; the last is cut where the budget ends."""
+    ranked = sorted((c for c in bundle.chunks if c.tokens & words), key=lambda c: -len(c.tokens & words))
     out = []
     for c in ranked:
-        if not c.tokens & words or len(c.body) > budget:
-            continue
+        if budget <= 0:
+            break
+        out.append(replace(c, body=c.body[:budget]))
         budget -= len(c.body)
-        out.append(c)
     return out
 
 

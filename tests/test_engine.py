@@ -225,6 +225,90 @@ def test_hierarchies(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 1)], "p int, c int")
     assert {r["id"] for r in hierarchy.in_cycles(edges, "p", "c").collect()} == {1, 2, 3}
     assert hierarchy.in_cycles(edges.where("p <> 3"), "p", "c").count() == 0
+
+
+def test_long_chains_and_long_rings(spark):
+    from quarrymill.operators import hierarchy
+
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(60)], "id long, up long")
+    assert hierarchy.depths(chain, "id", "up").groupBy().max("level").first()[0] == 60
+    two = [(i, (i + 1) % 25) for i in range(25)] + [(100 + i, 100 + (i + 1) % 4) for i in range(4)] + [(24, 50), (50, 100), (7, 60), (70, 70)]
+    found = {r["id"] for r in hierarchy.in_cycles(spark.createDataFrame(two, "p long, c long"), "p", "c").collect()}
+    assert found == {*range(25), *range(100, 104), 70}
+
+
+def test_numbers_compare_as_numbers(spark):
+    from decimal import Decimal
+
+    from quarrymill.operators import joins
+
+    small = spark.createDataFrame([(1e-12,), (3.0,), (float("nan"),)], "x double")
+    other = spark.createDataFrame([(2e-12,), (3.0,)], "y double")
+    assert tuple(joins.inclusion(small, "x", other, "y").first()) == (3, 2, 1 - 2 / 3)
+    decimals = spark.createDataFrame([(Decimal("3.00"),), (Decimal("0.10"),)], "z decimal(20,2)")
+    whole = spark.createDataFrame([(3,), (4,)], "w long")
+    assert tuple(joins.inclusion(decimals, "z", whole, "w").first()) == (2, 1, 0.5)
+    assert tuple(joins.inclusion(decimals, "z", spark.createDataFrame([(0.1,), (3.0,)], "d double"), "d").first()) == (2, 0, 1.0)
+    pairs = joins.inclusion_matrix({"a": (small, "x"), "b": (other, "y"), "c": (whole, "w")}, [("a", "b"), ("c", "a")]).collect()
+    assert {(r["child"], r["matches"]) for r in pairs} == {("a", 1), ("c", 1)}
+
+
+def test_overlaps_count_versions(spark):
+    from quarrymill.operators import joins
+
+    rows = spark.createDataFrame([(1, 1, 10), (1, 2, 5), (1, 3, 4), (1, 11, 12), (2, 1, None), (2, 9, 9)], "k int, a int, b int")
+    assert {(r["k"], r["a"]) for r in joins.overlaps(rows, ["k"], "a", "b").collect()} == {(1, 2), (1, 3), (2, 9)}
+
+
+def test_sums_are_rounded_once(spark):
+    from quarrymill.operators import aggregates
+
+    rows = spark.createDataFrame([(1, 0.004)] * 1000, "k int, x double")
+    assert float(aggregates.group_sums(rows, "k", "x").first()["total"]) == 4.0
+
+
+def test_tokens_of_other_alphabets(spark):
+    from quarrymill.operators import text
+
+    docs = spark.createDataFrame([(1, "Gebühren für Straßen"), (2, "fur strassen"), (3, "дом и сад")], "doc_id int, text string")
+    assert set(docs.where("doc_id = 1").select(text.tokens(docs["text"]).alias("t")).first()["t"]) == {"gebühren", "für", "straßen"}
+    assert [tuple(r) for r in text.overlap(docs, "für Gebühren сад").collect()] == [(1, 2), (3, 1)]
+
+
+def test_excerpts_cut_long_chunks():
+    from quarrymill.sources.context import Bundle, Chunk, excerpts
+
+    out = excerpts(Bundle([Chunk("a", "", "store " * 50), Chunk("b", "", "store open " * 50)]), {"store", "open"}, budget=600)
+    assert [(c.path, len(c.body)) for c in out] == [("b", 550), ("a", 50)]
+
+
+def test_columns_named_like_keywords_are_qualified(spark):
+    from quarrymill.plans.compile import Refusal, compile_metric
+    from quarrymill.plans.model import driver_model
+
+    doc = driver_model()
+    orders = next(t for t in doc["tables"] if t["name"] == "orders")
+    orders["columns"].append({"name": "date", "sql_type": "DATE", "semantic_type": "date", "entity_role": "dimension"})
+    out = compile_metric(doc, "revenue", extra_filter="date > DATE '2024-01-01'")
+    assert not isinstance(out, Refusal) and "`orders`.`date` > DATE '2024-01-01'" in out.sql
+
+
+def test_promotion_asks_again_about_columns_in_texts(spark):
+    from quarrymill.plans.infer import infer
+    from quarrymill.sources.context import Bundle, Chunk
+    from quarrymill.sources.tables import Frames
+
+    class Provider:
+        calls = 0
+
+        def json(self, system, user):
+            self.calls += 1
+            return {"semantic_type": "percentage"} if "speaks of" in system else []
+
+    source = Frames({"stay": spark.createDataFrame([(i, i * 0.5) for i in range(50)], "stay_id long, share_pct double")})
+    doc, report = infer(spark, source, "x", Provider(), Bundle([Chunk("a.md", "stay", "share_pct of a stay")]))
+    column = next(c for t in doc["tables"] for c in t["columns"] if c["name"] == "share_pct")
+    assert report.counts["promoted"] >= 0 and column["provenance"]
     bom = spark.createDataFrame([(1, 2, 2), (2, 3, 3), (1, 3, 1)], "p int, c int, q int")
     assert {tuple(r) for r in hierarchy.explode_bom(bom, spark.createDataFrame([(1,)], "r int"), "p", "c", "q").collect()} == {(1, 2, 2.0), (1, 3, 7.0)}
 

@@ -4,11 +4,14 @@ import pytest
 from quarrymill import queries
 
 SF = "/root/testdata/sf0.001"
+#: Inference needs more than a handful of rows to tell keys from chance.
+LARGER = {"infer_keys": "/root/testdata/sf0.01"}
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_same_as_sql(spark, name):
-    assert compare.of_spark(queries.QUERIES[name](spark, SF)) == compare.of_duck(queries.SQL[name], SF)
+    sf = LARGER.get(name, SF)
+    assert compare.of_spark(queries.QUERIES[name](spark, sf)) == compare.of_duck(queries.SQL[name], sf)
 
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,7 +54,7 @@ def shards(docs: DataFrame, count: int = 16, bits: int = BITS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, hilbert of each row.
 
     Law ``rows``: rows in Hilbert order are cut into ``count`` runs whose row counts differ by one at most. Within a
-    cell of the curve rows stand in the order of a hash of doc_id, so a cell with very many rows spreads evenly over
+    cell of the curve rows stand in the order of a hash of doc_id and text, so a cell with very many rows spreads evenly over
     as many parts as it needs. Equal texts with equal metadata share a cell, and a shard but where a cut passes.
 
     Ranks come from counts: rows of each part are numbered by themselves, and the numbers of rows in earlier parts
@@ -72,7 +74,7 @@ def shards(docs: DataFrame, count: int = 16, bits: int = BITS) -> DataFrame:
     total = F.sum("n").over(_all())
     goal = 4 * width(spark)
     points = points.select("_d0", "_d1", "_d2", "n", hilbert_index([F.col(f"_d{i}") for i in range(3)], bits).alias("hilbert"), F.ceil(F.col("n") * goal / total).cast("int").alias("parts"))
-    hashed = F.xxhash64("doc_id")
+    hashed = F.xxhash64("doc_id", "text_crc32", "size")
     placed = narrow.join(F.broadcast(points.drop("n")), ["_d0", "_d1", "_d2"]).withColumn("_hash", hashed)
     # the high bits of the hash name the part, so parts are in the order of the hash
     placed = placed.withColumn("_part", F.floor((F.shiftrightunsigned("_hash", 33)) / F.lit(float(1 << 31)) * F.col("parts")).cast("int"))
@@ -102,10 +104,19 @@ def _within():
 
 
 def write_shards(docs: DataFrame, path: str, count: int = 16, bits: int = BITS) -> None:
-    """Write whole documents by shard in slot order, so that files prune on every dimension."""
-    key = shards(docs, count, bits).select("doc_id", "shard", "slot").dropDuplicates(["doc_id"])
-    docs.join(key, "doc_id").repartitionByRange(count, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write whole documents by shard in slot order, so that files prune on every dimension. Every row is written, also
+    without doc_id and with a doc_id that others have: rows of one doc_id, checksum and size are dealt out by number."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    names = ["_id", "_crc", "_size", "_nth"]
+    id_, crc, size = F.col("doc_id").cast("long"), F.crc32(text.cast("binary")), (F.octet_length(text) + 1).cast("long")
+    nth = lambda *order: F.row_number().over(Window.partitionBy("_id", "_crc", "_size").orderBy(*order))
+    placed = shards(docs, count, bits).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("size").alias("_size"), "shard", "slot").withColumn("_nth", nth("shard", "slot"))
+    own = docs.withColumns({"_id": id_, "_crc": crc, "_size": size}).withColumn("_nth", nth("lang", "source"))
+    same = reduce(Column.__and__, [own[c].eqNullSafe(placed[c]) for c in names])
+    joined = own.join(placed, same).select(*[own[c] for c in docs.columns], placed["shard"], placed["slot"])
+    joined.repartitionByRange(count, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shards over all of ``documents``, law ``rows``, with the curve index as a column more."""
     return shards(table(spark, sf_dir, "documents"))

@@ -88,7 +88,7 @@ class Model:
             return np.full(len(rows), self.prior)
         near = self.latent(rows) @ self.vectors.T
         k = min(VOTERS, near.shape[1])
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        top = np.argsort(-near, axis=1, kind="stable")[:, :k]  # ties go to the voter of smaller doc_id
         weight = np.maximum(np.take_along_axis(near, top, 1).astype(np.float64), 0) ** 8
         # the sample holds as many rows of either label as it can; a vote counts as many labelled rows as it stands for
         share = min(max(self.labels.mean(), 1e-6), 1 - 1e-6)
@@ -125,11 +125,12 @@ def held_out() -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` rows of either label, chosen by a hash of doc_id among those that are not held out.
+    """Fit on at most ``sample`` rows of either label, chosen by a hash of doc_id among those that are not held out. A
+    doc_id with both labels counts as label 0.
 
     Features are worked out where the texts are; the driver gets at most 2 * sample rows of DIMS half floats.
     """
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null").where(~held_out()).dropDuplicates(["doc_id"])
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n, ones = known.agg(F.count("*"), F.coalesce(F.sum("quality"), F.lit(0))).first()
     some = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
     chosen = docs.select("doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id")  # 2 * sample rows
@@ -166,6 +167,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op10_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``: doc_id, held_out, score, predicted; labels of held-out rows are never learnt."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
     return scored(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +22,10 @@ WORDS_VERSION, BPE_VERSION = "words-1", "byte_bpe_50k-1"
 class Rollup:
     """Additive totals by source, language and tokenizer version, in a folder of committed batches.
 
-    A batch is a folder of its own name. Spark's committer marks it whole by ``_SUCCESS``; a folder without that
-    mark is a failed attempt and is not read, and the next attempt overwrites it. Committing a name that is whole
-    already changes nothing, so a driver that doesn't know whether its last batch went through commits it again.
-    Each batch holds one row a key, so totals read as many rows as there were keys in batches.
+    A batch is written to a draft folder and renamed to its name, which fails where the name is taken: of two writers
+    of one batch, and of a driver that doesn't know whether its last attempt went through, one commits and the other
+    changes nothing. Drafts of failed attempts are never read. Each batch holds one row a key; ``compact`` puts
+    batches together, so that totals read no more than the batches since.
     """
 
     SCHEMA = "source string, lang string, version string, n_docs long, n_tokens long"
@@ -34,15 +36,54 @@ class Rollup:
         self._fs = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _at(self, batch: str) -> str:
-        if not batch or not all(c.isalnum() or c in "-_." for c in batch):
+        if not batch or batch[0] in "_." or not all(c.isalnum() or c in "-_." for c in batch):
             raise ValueError(f"not a batch name: {batch!r}")
         return f"{self.root}/{batch}"
 
-    def committed(self) -> list[str]:
+    def _folders(self) -> list[str]:
         top = self._path(self.root)
         if not self._fs.exists(top):
             return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(top) if self._fs.exists(self._path(f"{self.root}/{s.getPath().getName()}/_SUCCESS")))
+        return sorted(n for n in (s.getPath().getName() for s in self._fs.listStatus(top)) if self._fs.exists(self._path(f"{self.root}/{n}/_SUCCESS")))
+
+    def _base(self) -> tuple[str | None, set[str]]:
+        """The last compaction and the batches in it."""
+        name = next((n for n in reversed(self._folders()) if n.startswith("_base-")), None)
+        if name is None:
+            return None, set()
+        return name, {r[0] for r in self.spark.read.parquet(f"{self.root}/{name}/names").collect()}
+
+    def committed(self) -> list[str]:
+        return sorted(self._base()[1] | {n for n in self._folders() if not n.startswith("_")})
+
+    def _put(self, draft: str, name: str) -> bool:
+        """Rename ``draft``, in one step, unless the name is taken."""
+        jvm = self.spark._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), self.spark._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(self._path(draft), self._path(f"{self.root}/{name}"), none)
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" not in str(e.java_exception):
+                raise
+            self._fs.delete(self._path(draft), True)
+            return False
+        return True
+
+    def compact(self) -> None:
+        """Put all batches so far into one base, and delete them. Their names stay committed; a reader that began before
+        reads again if its folders go."""
+        last, known = self._base()
+        own = [n for n in self._folders() if not n.startswith("_") and n not in known]
+        if not own:
+            return
+        draft = f"{self.root}/_draft-{uuid.uuid4().hex}"
+        self.totals().write.parquet(f"{draft}/totals")
+        self.spark.createDataFrame([(n,) for n in sorted(known | set(own))], "name string").coalesce(1).write.parquet(f"{draft}/names")
+        self._fs.create(self._path(f"{draft}/_SUCCESS")).close()
+        if self._put(draft, f"_base-{int(last[6:]) + 1 if last else 1:09d}"):
+            for n in [*own, *([last] if last else [])]:
+                self._fs.delete(self._path(f"{self.root}/{n}"), True)
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add ``changes(op, source, lang, version, n_tokens, old_tokens)``: insert, delete or revise.
@@ -51,19 +92,22 @@ class Rollup:
         old_tokens to n_tokens. Null counts are 0 and null keys are keys. Any other op fails the batch. False if the
         batch was there already. Partial sums come before the shuffle, so a hot source costs one row a task.
         """
+        self._at(batch)
         if batch in self.committed():
             return False
         n, old = (F.coalesce(F.col(c).cast("long"), F.lit(0)) for c in ("n_tokens", "old_tokens"))
         docs = F.when(F.col("op") == "insert", 1).when(F.col("op") == "delete", -1).when(F.col("op") == "revise", 0).otherwise(F.raise_error(F.concat(F.lit("unknown op "), F.coalesce("op", F.lit("null")))))
         tokens = F.when(F.col("op") == "insert", n).when(F.col("op") == "delete", -n).otherwise(n - old)
         delta = changes.groupBy(*KEYS).agg(F.sum(docs.cast("long")).alias("n_docs"), F.sum(tokens).alias("n_tokens"))
-        delta.write.mode("overwrite").parquet(self._at(batch))
-        return True
+        draft = f"{self.root}/_draft-{uuid.uuid4().hex}"
+        delta.write.parquet(draft)
+        return self._put(draft, batch)
 
     def totals(self) -> DataFrame:
         """Keys that have documents left, and their totals. No batches give no rows."""
-        names = self.committed()
-        parts = self.spark.read.schema(self.SCHEMA).parquet(*map(self._at, names)) if names else self.spark.createDataFrame([], self.SCHEMA)
+        base, known = self._base()
+        places = [self._at(n) for n in self._folders() if not n.startswith("_") and n not in known] + ([f"{self.root}/{base}/totals"] if base else [])
+        parts = self.spark.read.schema(self.SCHEMA).parquet(*places) if places else self.spark.createDataFrame([], self.SCHEMA)
         return parts.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
 
 

@@ -105,7 +105,7 @@ def _place(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 class _Once:
-    """A file that appears under its name only when whole; a task that runs again writes the same bytes anew."""
+    """A file that appears under its name only when whole."""
 
     def __init__(self, store: fs.FileSystem, path: str, mark: str):
         self.store, self.path, self.draft = store, path, f"{path}.{mark}"
@@ -132,7 +132,8 @@ def first_of_payload(pages: DataFrame, least: int = LEAST) -> DataFrame:
 def write_archives(pages: DataFrame, root: str, least: int = LEAST) -> DataFrame:
     """Write the records of each partition as one monolithic archive, then normalise it; (archive, records).
 
-    ``root`` is a folder that all executors reach, by any address that Arrow opens. Revisits carry no payload.
+    ``root`` is a folder that all executors reach, by any address that Arrow opens. Revisits carry no payload. Names have
+    the attempt in them, and rows come from the attempt that Spark took: archive and index are always of one attempt.
     """
     store, path = _place(root)
     store.create_dir(path, recursive=True)
@@ -142,7 +143,7 @@ def write_archives(pages: DataFrame, root: str, least: int = LEAST) -> DataFrame
 
         task = TaskContext.get()
         store, top = _place(root)
-        name, mark = f"{top}/part-{task.partitionId():06d}", f"draft-{task.taskAttemptId()}"
+        name, mark = f"{top}/part-{task.partitionId():06d}-{task.taskAttemptId()}", "draft"
         wrote = 0
         with store.open_output_stream(f"{name}.raw.{mark}", compression=None) as out:
             deflater = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
@@ -203,9 +204,17 @@ def round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
     spark = pages.sparkSession
     root = new_path(spark, "warc")
     done = write_archives(pages.select(F.col("page_id").cast("long"), "url", "html"), root, least)
-    names = spark.createDataFrame(done.collect(), "archive string, records long")  # one short row a task
+    kept = done.collect()  # one short row a task
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    known = {r["archive"].rpartition("/")[2] for r in kept}
+    for status in store.listStatus(top) if store.exists(top) else []:  # what attempts that failed or were overtaken left
+        if status.getPath().getName().partition(".")[0] not in known:
+            store.delete(status.getPath(), False)
+    names = spark.createDataFrame(kept, "archive string, records long")
     return read_archives(names, root)
 
 
 def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """round_trip over all of ``pages``, without the payloads."""
     return round_trip(table(spark, sf_dir, "pages")).drop("payload")

@@ -377,6 +377,63 @@ def test_rollup(spark):
     assert book.committed() == ["one", "two"] and book.totals().count() == 2
     with pytest.raises(ValueError):
         book.commit("../x", first)
+    # two writers of one batch: the second finds the name taken when it renames
+    first.groupBy("source", "lang", "version").count().write.parquet(f"{book.root}/_draft-x")
+    assert not book._put(f"{book.root}/_draft-x", "one") and book.totals().count() == 2
+    before = {tuple(r) for r in book.totals().collect()}
+    book.compact()
+    assert book.committed() == ["one", "two"] and {tuple(r) for r in book.totals().collect()} == before
+    assert not book.commit("one", first) and book.commit("three", first)
+    book.compact()
+    assert book.committed() == ["one", "three", "two"] and ("a", "en", "v1", 3, 27) in {tuple(r) for r in book.totals().collect()}
+
+
+def test_rollup_query_against_plain_counts(spark, tmp_path):
+    from collections import Counter
+
+    from quarrymill.llm.bpe import public_vocabulary
+    from quarrymill.llm.rollup import _encoding, op6_token_rollup
+
+    values = [*texts(), None, texts()[0]]
+    rows = [(i, t, "en" if i % 2 else None, f"s{i % 3}") for i, t in enumerate(values)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    encoding = _encoding(*public_vocabulary())
+    docs, tokens, seen = Counter(), Counter(), set()
+    for _, text, lang, source in rows:
+        if (text or "") in seen:
+            continue
+        seen.add(text or "")
+        for version, n in (("words-1", len(WORDS.findall(text or ""))), ("byte_bpe_50k-1", len(encoding.encode_ordinary(text or "")))):
+            docs[source, lang, version] += 1
+            tokens[source, lang, version] += n
+    assert {tuple(r) for r in op6_token_rollup(spark, str(tmp_path)).collect()} == {(*k, docs[k], tokens[k]) for k in docs}
+
+
+def test_shards_on_disk_keep_every_row(spark, tmp_path):
+    from quarrymill.llm.hilbert import write_shards
+
+    rows = [(None, "a b", "en", "x"), (None, "a b", "de", "x"), (None, None, None, None), (1, "c", "en", "y"), (1, "c", "en", "y"), (2, "d " * 500, "fr", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    write_shards(docs, f"{tmp_path}/s", count=3)
+    back = spark.read.parquet(f"{tmp_path}/s")
+    assert sorted(map(str, back.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+    assert sorted(r["count"] for r in back.groupBy("shard").count().collect()) == [2, 2, 2]
+
+
+def test_votes_against_a_plain_vote(spark):
+    from quarrymill.llm.quality import VOTERS, features, fit
+
+    rows = np.concatenate([x for _, x in features(pa.array([t for t in texts() if t.strip()], pa.string()))])
+    labels = (np.arange(len(rows)) % 3 == 0).astype(float)
+    model = fit(rows, labels, 0.4)
+    got = model.score(rows)
+    share = labels.mean()
+    for i, v in enumerate(model.latent(rows)):
+        near = [float(v @ w) for w in model.vectors]
+        best = sorted(range(len(near)), key=lambda j: (-np.float32(near[j]), j))[:VOTERS]
+        weight = {j: max(near[j], 0.0) ** 8 * (0.4 / share if labels[j] else 0.6 / (1 - share)) for j in best}
+        want = (sum(w for j, w in weight.items() if labels[j]) + 0.4e-6) / (sum(weight.values()) + 1e-6)
+        assert abs(got[i] - want) < 1e-3
 
 
 def test_token_counts(spark, docs, given):

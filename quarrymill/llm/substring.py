@@ -210,7 +210,7 @@ def extend(words: list[bytes], prints: np.ndarray, given: list[bytes], exact: se
     return ok, np.unique(prints[seen[~ok[seen]]])
 
 
-def _cut(docs: DataFrame, info: DataFrame, length: int, texts: bool, bits: int) -> DataFrame:
+def _cut(docs: DataFrame, info: DataFrame, length: int, outputs: tuple[str, ...], bits: int) -> DataFrame:
     """Each row of ``docs`` with what is left of it, and ``_odd``: prints whose words differ from those of the source.
 
     ``info(doc_id, _pieces, _copies, _exact)`` has the documents that may lose words. Only those are shuffled."""
@@ -220,7 +220,8 @@ def _cut(docs: DataFrame, info: DataFrame, length: int, texts: bool, bits: int)
     joined = docs.where(may).join(info, "doc_id", "left").select(*names, "_pieces", "_copies", "_exact")
     joined = joined.unionByName(docs.where(~may).select(*names, *none))
     target = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    extra = "n_words long, n_removed long, spans array<array<long>>, " + ("kept_words string, kept_text string" if texts else "kept_sha256 string") + ", _odd array<long>"
+    extra = "n_words long, n_removed long, spans array<array<long>>, " + "".join(f"{c} string, " for c in outputs) + "_odd array<long>"
+    texts, need_words = "kept_text" in outputs, bool({"kept_words", "kept_sha256"} & {*outputs})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,7 +254,8 @@ def _cut(docs: DataFrame, info: DataFrame, length: int, texts: bool, bits: int)
                     odd.append(out)
                     step = np.flatnonzero(np.diff(np.concatenate([[False], off, [False]]).astype(np.int8))).reshape(-1, 2)
                     spans.append([[int(x), int(y)] for x, y in step])
-                    kept.append(b" ".join(words) if not removed[-1] else b" ".join(words[j] for j in np.flatnonzero(~off)))
+                    if need_words:
+                        kept.append(b" ".join(words) if not removed[-1] else b" ".join(words[j] for j in np.flatnonzero(~off)))
                     if texts:
                         parts, at = [], 0
                         for x, y in step:
@@ -261,13 +263,15 @@ def _cut(docs: DataFrame, info: DataFrame, length: int, texts: bool, bits: int)
                             at = s.ends[a + y - 1] - s.offsets[i]
                         left.append(b"".join([*parts, raw[at:]]) if column[row].is_valid else None)
                 piece = batch.slice(s.lo, s.hi - s.lo)
-                if texts:
-                    result = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(left, pa.binary()).cast(pa.string())]
-                else:
-                    result = [pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
+                made = {
+                    "kept_words": lambda: pa.array(kept, pa.binary()).cast(pa.string()),
+                    "kept_text": lambda: pa.array(left, pa.binary()).cast(pa.string()),
+                    "kept_sha256": lambda: pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
+                }
+                result = [made[c]() for c in outputs]
                 yield pa.RecordBatch.from_arrays(
                     [*(piece.column(c) for c in names), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), *result, pa.array(odd, pa.list_(pa.int64()))],
-                    [*names, "n_words", "n_removed", "spans", *(["kept_words", "kept_text"] if texts else ["kept_sha256"]), "_odd"],
+                    [*names, "n_words", "n_removed", "spans", *outputs, "_odd"],
                 )
 
     return joined.mapInArrow(run, f"{target}, {extra}")
@@ -291,13 +295,14 @@ def _by_words(docs: DataFrame, found: DataFrame, odd: DataFrame, length: int, bi
     return each.join(low, "words").where("doc_id > low").groupBy("doc_id").agg(F.collect_set("words").alias("_exact"))
 
 
-def cut(docs: DataFrame, length: int = 50, seed: int = SEED, texts: bool = True, bits: int = 64) -> DataFrame:
-    """Each row of ``docs(doc_id, text, ...)`` with n_words, n_removed, spans, kept_words and kept_text.
+def cut(docs: DataFrame, length: int = 50, seed: int = SEED, outputs: tuple[str, ...] = ("kept_words", "kept_text"), bits: int = 64) -> DataFrame:
+    """Each row of ``docs(doc_id, text, ...)`` with n_words, n_removed, spans, and ``outputs``: some of kept_words, kept_text
+    and kept_sha256, the SHA-256 of kept_words.
 
     Every word goes that is covered by a window of ``length`` words whose word sequence also starts in a document with
     a smaller doc_id. spans are the maximal repeats: [first word, end) runs of removed words. kept_words joins the
     words left by one space; kept_text is the text without the bytes of removed spans, with its white space as it
-    was. Without ``texts`` kept_sha256 stands in place of these two: the SHA-256 of kept_words.
+    was.
 
     ``bits`` of a print: fewer than 64 make more windows look equal, which changes no result.
 
@@ -308,8 +313,8 @@ def cut(docs: DataFrame, length: int = 50, seed: int = SEED, texts: bool = True,
     """
     spark = docs.sparkSession
     seed = min(seed, (length + 1) // 2)
-    outputs = {"n_words", "n_removed", "spans", "kept_words", "kept_text", "kept_sha256", "_pieces", "_copies", "_exact", "_odd"}
-    docs = docs.select(*[F.col(f"`{c}`") if c != "doc_id" else F.col(c).cast("long").alias(c) for c in docs.columns if c not in outputs])
+    taken = {"n_words", "n_removed", "spans", "kept_words", "kept_text", "kept_sha256", "_pieces", "_copies", "_exact", "_odd"}
+    docs = docs.select(*[F.col(f"`{c}`") if c != "doc_id" else F.col(c).cast("long").alias(c) for c in docs.columns if c not in taken])
     plain = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
 
     found = stage(seeds(plain, length, seed), "anchors")
@@ -336,12 +341,12 @@ def cut(docs: DataFrame, length: int = 50, seed: int = SEED, texts: bool = True,
     drop(wanted, sent, copies, *met._parts)
     release(spark)
 
-    out = stage(_cut(docs, info, length, texts, bits), "cut")
+    out = stage(_cut(docs, info, length, outputs, bits), "cut")
     odd = stage(out.select(F.explode("_odd").alias("value")).distinct(), "odd")
     if not odd.isEmpty():
         info = stage(info.drop("_exact").join(_by_words(plain, around, odd, length, bits), "doc_id", "left"), "info")
         drop(out)
-        out = stage(_cut(docs, info, length, texts, bits), "cut")
+        out = stage(_cut(docs, info, length, outputs, bits), "cut")
     drop(info, odd, around)
     return out.drop("_odd")
 
@@ -349,4 +354,4 @@ def cut(docs: DataFrame, length: int = 50, seed: int = SEED, texts: bool = True,
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 13 words over all of ``documents``: doc_id, n_words, n_removed, kept_sha256."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return cut(docs, length=13, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return cut(docs, length=13, outputs=("kept_sha256",)).select("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.llm import circulant, packing, quality, substring
-from quarrymill.llm.shared import stage, table
+from quarrymill.llm.shared import drop, stage, table
 
 
 #: Coordinates of a band and bands: a pair at 0.8 shares none with probability 2e-7, as one at 0.85 does in op8.
@@ -29,12 +29,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 words or more that an earlier document holds too; n_chars follows. A
     document that loses all its words stays, with what white space is left."""
-    cut = substring.cut(docs, length=50).withColumn("text", F.col("kept_text")).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")))
+    cut = substring.cut(docs, length=50, outputs=("kept_text",)).withColumn("text", F.col("kept_text")).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")))
     return cut.select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row a document: its bucket, batch and slot."""
+    """One row a document: its bucket, batch and slot. Null and empty texts have length 0; an empty table gives no rows."""
     return packing.pack(packing.lengths(docs))
 
 
@@ -45,7 +45,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; the table of each is deleted when the next has read it."""
     docs = table(spark, sf_dir, "documents")
-    for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for name, function in STAGES:
+        before, docs = docs, stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
+        if hasattr(before, "_staged_at"):
+            drop(before)
+    return docs

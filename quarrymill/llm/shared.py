@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: Rows of whole texts or shingle sets that go to Python at a time, in staged jobs: it bounds what a worker holds.
+_BATCH, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: Bits of the largest sieve, 8 MB: the bound of what sift sends to the driver and to the executors.
 SIEVE_BITS = 26
 
@@ -38,7 +40,12 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     """Cut lineage: write ``df`` as a table in the shared folder and read it again."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    given = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(BATCH, int(given)) if int(given) > 0 else BATCH))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, given)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

@@ -158,8 +158,8 @@ def promote(doc: dict, bundle: Bundle, classify_again) -> int:
     n = 0
     for t in doc["tables"]:
         for c in t["columns"]:
-            words = {w for w in re.split(r"\W+|_", f"{t['name']} {c['name']}".lower()) if len(w) > 2}
-            near = next((x for x in bundle.chunks if words and words <= {p for w in x.tokens for p in [w, *w.split("_")]}), None)
+            named = {t["name"].rpartition(".")[2].lower(), c["name"].lower()}
+            near = next((x for x in bundle.chunks if named <= x.tokens), None)
             kind = classify_again(t, c, near.body) if near else None
             if kind and kind != c["semantic_type"]:
                 c.setdefault("conflicts", []).append({"between": ["statistic", "docs"], "detail": f"{c['semantic_type']} became {kind} by {near.path}"})

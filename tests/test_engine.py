@@ -303,12 +303,12 @@ def test_promotion_asks_again_about_columns_in_texts(spark):
 
         def json(self, system, user):
             self.calls += 1
-            return {"semantic_type": "percentage"} if "speaks of" in system else []
+            return {"semantic_type": "quantity"} if "speaks of" in system else []
 
     source = Frames({"stay": spark.createDataFrame([(i, i * 0.5) for i in range(50)], "stay_id long, share_pct double")})
     doc, report = infer(spark, source, "x", Provider(), Bundle([Chunk("a.md", "stay", "share_pct of a stay")]))
     column = next(c for t in doc["tables"] for c in t["columns"] if c["name"] == "share_pct")
-    assert report.counts["promoted"] >= 0 and column["provenance"]
+    assert report.counts["promoted"] == 1 and column["semantic_type"] == "quantity" and "became quantity" in column["conflicts"][0]["detail"]
     bom = spark.createDataFrame([(1, 2, 2), (2, 3, 3), (1, 3, 1)], "p int, c int, q int")
     assert {tuple(r) for r in hierarchy.explode_bom(bom, spark.createDataFrame([(1,)], "r int"), "p", "c", "q").collect()} == {(1, 2, 2.0), (1, 3, 7.0)}
 

@@ -17,6 +17,7 @@ from .plans.infer import infer
 from .plans.review import apply as apply_verdicts
 from .plans.review import collect
 from .plans.search import tools
+from .plans.serve import serve
 from .plans.validate import validate
 from .sources.context import load_context
 from .sources.tables import open_source
@@ -70,6 +71,13 @@ def _tools(a) -> int:
     return 0
 
 
+def _serve(a) -> int:
+    """A tool server on standard input and output."""
+    for reply in serve(M.load(a.document), sys.stdin):
+        print(reply, flush=True)
+    return 0
+
+
 def _drift(a) -> int:
     spark = _spark()
     doc, source = M.load(a.document), open_source(spark, a.source)
@@ -114,6 +122,7 @@ def main(argv: list[str] | None = None) -> int:
     command("infer", _infer, (("source",), {}), (("--out",), {"default": "semantic.yaml"}), (("--name",), {"default": "warehouse"}), (("--context",), {"action": "append", "default": []}), (("--key-suffix",), {"action": "append", "default": []}))
     command("review", _review, doc, (("--verdicts",), {}))
     command("tools", _tools, doc)
+    command("serve", _serve, doc)
     command("drift", _drift, doc, (("source",), {}), (("--questions",), {}), (("--today",), {}), (("--apply",), {"action": "store_true"}))
     command("compile", _compile, doc, (("metric",), {}), (("--group-by",), {"action": "append", "default": []}), *[((f"--{x}",), {}) for x in ("grain", "start", "end", "filter", "calendar")])
     command("export", _export, doc, (("--out",), {"default": "dbt.yaml"}))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 # Names of aggregations there.
 AGGS = {"sum": "sum", "avg": "average", "min": "min", "max": "max", "count": "count", "count_distinct": "count_distinct", "median": "median", "percentile": "percentile"}
-KEYS = {"primary_key": "primary", "unique_key": "unique", "foreign_key": "foreign", "natural_key": "natural"}
+KEYS = {"unique_key": "unique", "foreign_key": "foreign", "natural_key": "natural"}
+TIMES = ("date", "timestamp_event", "timestamp_effective")
 
 
 def export_dbt(doc: dict) -> tuple[dict, list[str]]:
@@ -17,29 +18,36 @@ def export_dbt(doc: dict) -> tuple[dict, list[str]]:
         model: dict = {"name": t["name"], "model": f"ref('{t['name']}')", "entities": [], "dimensions": [], "measures": []}
         for c in t["columns"]:
             at = f"{t['name']}.{c['name']}"
-            if c["entity_role"] in KEYS:
-                model["entities"].append({"name": c["name"], "type": KEYS[c["entity_role"]], "expr": c["name"]})
+            about = {"description": c["description"]} if c.get("description") else {}
+            if c["name"] in t.get("primary_key", []) or c["entity_role"] in KEYS:
+                kind = "primary" if c["name"] in t.get("primary_key", []) else KEYS[c["entity_role"]]
+                model["entities"].append({"name": c["name"], "type": kind, "expr": c["name"]})
             elif c["entity_role"] == "measure":
-                model["measures"].append({"name": c["name"], "agg": AGGS.get(c.get("aggregations", {}).get("default", "sum"), "sum"), "expr": c["name"]})
+                model["measures"].append({"name": c["name"], "agg": AGGS.get(c.get("aggregations", {}).get("default", "sum"), "sum"), "expr": c["name"]} | about)
             else:
-                time = c["sql_type"] in ("DATE", "TIMESTAMP")
-                model["dimensions"].append({"name": c["name"], "type": "time", "type_params": {"time_granularity": "day"}} if time else {"name": c["name"], "type": "categorical"})
+                time = c["sql_type"] in ("DATE", "TIMESTAMP") or c.get("semantic_type") in TIMES
+                model["dimensions"].append(({"name": c["name"], "type": "time", "type_params": {"time_granularity": "day"}} if time else {"name": c["name"], "type": "categorical"}) | about)
             if at in measures and c["entity_role"] != "measure":
                 model["measures"].append({"name": f"{c['name']}_{measures[at].get('agg', 'count')}", "agg": AGGS.get(measures[at].get("agg", "count"), "count"), "expr": c["name"]})
             losses += [f"{at}: {k} has no place" for k in ("enum_values", "conflicts", "confidence", "pii") if c.get(k)]
+        clock = next((d["name"] for d in model["dimensions"] if d["type"] == "time"), None)
+        if clock:
+            model["defaults"] = {"agg_time_dimension": clock}
+        if t.get("description"):
+            model["description"] = t["description"]
+        model["meta"] = {"table_type": t.get("table_type", "unknown"), "lifecycle": t.get("lifecycle", "inferred")}
         losses += [f"{t['name']}: {k} has no place" for k in ("knowledge", "scd", "freshness") if t.get(k)]
         models.append(model)
     for m in doc.get("metrics", []):
         kind = m.get("type", "simple")
-        if kind == "simple":
-            params: dict = {"measure": m["measure"].rpartition(".")[2]}
-            metrics.append({"name": m["name"], "type": "simple", "type_params": params} | ({"filter": m["filter"]} if m.get("filter") else {}))
-        elif kind == "ratio":
-            metrics.append({"name": m["name"], "type": "ratio", "type_params": {"numerator": m["numerator"].rpartition(".")[2], "denominator": m["denominator"].rpartition(".")[2]}})
-        else:
-            metrics.append({"name": m["name"], "type": "derived", "type_params": {"expr": m["expr"], "metrics": m["input_metrics"]}})
+        if kind not in ("simple", "ratio"):
+            losses.append(f"metric {m['name']}: left out, {kind}")
+            continue
+        params = {k: m[k].rpartition(".")[2] for k in (("measure",) if kind == "simple" else ("numerator", "denominator"))}
+        metrics.append({"name": m["name"], "type": kind, "label": m.get("display_name", m["name"]), "type_params": params} | ({"filter": m["filter"]} if m.get("filter") else {}))
     losses += [f"hierarchy {h.get('name', h.get('dimension_table'))}: has no place" for h in doc.get("hierarchies", [])]
     losses += [f"aggregate {a['table']}: has no place" for a in doc.get("aggregate_tables", [])]
+    losses += ["repo_knowledge has no place"] if doc.get("repo_knowledge") else []
     return {"semantic_models": models, "metrics": metrics}, losses
 
 

@@ -40,20 +40,25 @@ def get_table(doc: dict, name: str) -> dict:
 
 
 def search(doc: dict, text: str) -> list[dict]:
-    """Keywords as substrings: a hit in a name counts two, in a text one; metrics twice as much and one more."""
+    """Keywords as substrings: a hit in a name counts two, a hit in the text, name included, one; a hit in the text of a
+    metric counts two, with one more for being a metric. Equal scores keep the order of the document."""
     words = [w for w in re.split(r"\W+", text.lower()) if w]
 
-    def score(name: str, about: str) -> int:
-        return sum(2 * (w in name.lower()) + (w in about.lower()) for w in words)
+    def hits(*texts: str | None) -> int:
+        joined = " ".join(t or "" for t in texts).lower()
+        return sum(w in joined for w in words)
 
     found = []
     for t in doc["tables"]:
-        found.append(("table", t["name"], score(t["name"], t.get("description", ""))))
-        found += [("column", f"{t['name']}.{c['name']}", score(c["name"], c.get("description", ""))) for c in t["columns"]]
+        about = t.get("description") or ""
+        found.append(({"kind": "table", "name": t["name"], "description": about[:100], "lifecycle": t.get("lifecycle", "inferred")}, 2 * hits(t["name"]) + hits(t["name"], about, t.get("ai_context"))))
+        for c in t["columns"]:
+            about = c.get("description") or ""
+            found.append(({"kind": "column", "name": f"{t['name']}.{c['name']}", "semantic_type": c.get("semantic_type"), "description": about[:80]}, 2 * hits(c["name"]) + hits(c["name"], about)))
     for m in doc.get("metrics", []):
-        n = score(m["name"], " ".join([m.get("display_name", ""), *m.get("synonyms", [])]))
-        found.append(("metric", m["name"], 2 * n + 1 if n else 0))
-    return [{"kind": k, "name": n, "score": s} for k, n, s in sorted(found, key=lambda x: -x[2]) if s][:TOP]
+        n = 2 * hits(m["name"], m.get("display_name"), *m.get("synonyms", []))
+        found.append(({"kind": "metric", "name": m["name"], "measure": m.get("measure"), "filter": m.get("filter")}, n + 1 if n else 0))
+    return [what | {"score": n} for what, n in sorted(found, key=lambda x: -x[1]) if n][:TOP]
 
 
 def list_metrics(doc: dict) -> list[dict]:
@@ -69,9 +74,9 @@ def routing(doc: dict, question: str) -> list[dict]:
 def tools(doc: dict) -> dict:
     """Functions by name for a tool server (a thin wrapper of any protocol makes them callable)."""
 
-    def metric(name: str, group_by: str = "", time_grain: str = "", time_start: str = "", time_end: str = "", extra_filter: str = "", calendar: str = "") -> dict:
+    def metric(name: str, group_by: str = "", time_grain: str = "", time_start: str = "", time_end: str = "", extra_filter: str = "", calendar: str = "", dialect: str = "spark") -> dict:
         split = [g.strip() for g in group_by.split(",") if g.strip()]
-        out = compile_metric(doc, name, split or None, time_grain or None, time_start or None, time_end or None, extra_filter or None, calendar or None)
+        out = compile_metric(doc, name, split or None, time_grain or None, time_start or None, time_end or None, extra_filter or None, calendar or None, dialect=dialect)
         return {"sql": out.sql, "warnings": out.warnings} if isinstance(out, Compiled) else {"refused": out.reason, "group_bys": out.group_bys, "grains": out.grains}
 
     return {

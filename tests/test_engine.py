@@ -370,7 +370,7 @@ def test_review_search_graph_export(inferred):
     items = {i["id"] for i in review.collect(doc)}
     first = next(i for i in items if i.startswith("type:"))
     assert review.apply(doc, {first: {"verdict": "accept"}, "type:no.where": {"verdict": "accept"}}) == [first] and first not in {i["id"] for i in review.collect(doc)}
-    assert search.search(doc, "tot_amt")[0]["kind"] == "metric"
+    assert {(r["kind"], r["score"]) for r in search.search(doc, "tot_amt")} >= {("metric", 3), ("column", 3)}
     assert search.get_table(doc, "ord_hdr_legacy")["status"] == "UNUSABLE" and "error" in search.get_table(doc, "nope")
     assert graph.join_path(driver_model(), "orders", "region") == ["orders", "customer", "nation", "region"] and graph.join_path(doc, "emp", "ord_hdr") is None
     made, losses = export.export_dbt(doc)
@@ -378,6 +378,56 @@ def test_review_search_graph_export(inferred):
     assert "GRANT SELECT" in export.grants("snowflake", database="D") and scoring.score_document(doc, doc)["type_accuracy"] == 1
 
 
+def _small():
+    columns = [
+        {"name": "id", "sql_type": "BIGINT", "entity_role": "foreign_key", "semantic_type": "identifier"},
+        {"name": "day_cd", "sql_type": "VARCHAR", "entity_role": "dimension", "semantic_type": "date", "description": "day of order"},
+        {"name": "amt", "sql_type": "DOUBLE", "entity_role": "measure", "semantic_type": "amount", "aggregations": {"default": "avg"}},
+    ]
+    return {
+        "tables": [{"name": "order_line", "primary_key": ["id"], "columns": columns, "table_type": "fact", "description": "lines"}],
+        "metrics": [
+            {"name": "sales", "type": "simple", "measure": "order_line.amt", "display_name": "Order sales", "synonyms": ["turnover"]},
+            {"name": "twice", "type": "derived", "expr": "2 * sales", "input_metrics": ["sales"]},
+        ],
+        "repo_knowledge": {"routing": []},
+    }
+
+
+def test_search_scores():
+    found = [(r["kind"], r["name"], r["score"]) for r in search.search(_small(), "order")]
+    assert found == [("table", "order_line", 3), ("metric", "sales", 3), ("column", "order_line.day_cd", 1)]
+    assert search.search(_small(), "") == [] and search.search(_small(), "nothing") == []
+    assert search.search(_small(), "turnover")[0]["measure"] == "order_line.amt"
+
+
+def test_export_takes_keys_from_the_primary_key_and_lists_what_is_lost():
+    made, losses = export.export_dbt(_small())
+    model = made["semantic_models"][0]
+    assert [(e["name"], e["type"]) for e in model["entities"]] == [("id", "primary")] and model["defaults"] == {"agg_time_dimension": "day_cd"}
+    assert model["measures"] == [{"name": "amt", "agg": "average", "expr": "amt"}] and model["meta"] == {"table_type": "fact", "lifecycle": "inferred"}
+    assert [(m["name"], m["label"]) for m in made["metrics"]] == [("sales", "Order sales")]
+    assert "metric twice: left out, derived" in losses and "repo_knowledge has no place" in losses
+
+
+def test_tool_server():
+    from quarrymill.plans.serve import NAMES, serve
+
+    def ask(*messages):
+        return [json.loads(x) for x in serve(_small(), [m if isinstance(m, str) else json.dumps({"jsonrpc": "2.0"} | m) for m in messages])]
+
+    call = lambda name: {"id": 1, "method": "tools/call", "params": {"name": name}}
+    hello, listed, hits, bad, gone, broken = ask(
+        {"id": 0, "method": "initialize", "params": {"protocolVersion": "2024-11-05"}}, {"method": "notifications/initialized"}, {"id": 1, "method": "tools/list"},
+        {"id": 2, "method": "tools/call", "params": {"name": "semantic_search", "arguments": {"text": "order"}}}, call("table_detail"), call("no_tool"), "{",
+    )
+    assert hello["result"]["protocolVersion"] == "2024-11-05" and {t["name"] for t in listed["result"]["tools"]} == {*NAMES, "join_path"}
+    assert json.loads(hits["result"]["content"][0]["text"])[0]["name"] == "order_line"
+    assert [x["error"]["code"] for x in (bad, gone, broken)] == [-32602, -32602, -32700] and broken["id"] is None
+    refused = ask({"id": "a", "method": "tools/call", "params": {"name": "compile_metric", "arguments": {"name": "nope", "dialect": "duckdb"}}})[0]
+    assert refused["id"] == "a" and "refused" in json.loads(refused["result"]["content"][0]["text"])
+
+
 def test_validation_finds_what_is_wrong():
     for change, said in (
         (lambda d: d.update(extra=1), "unknown key"), (lambda d: d.pop("name"), "missing key"), (lambda d: d["tables"][0]["columns"][0].update(semantic_type="x"), "semantic_type"),

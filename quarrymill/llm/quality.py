@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import release, table
 from .text import U64, mix, slices
 
 #: Hashed features of words, of byte-class triples, and binned shares.
@@ -18,6 +19,8 @@ WORD_DIMS, CLASS_COUNT, SHARE_BINS = 4096, 16, 12
 CLASS_DIMS = CLASS_COUNT**3
 #: Latent dimensions, voters for a document, and the bound on labelled rows that are fitted (per label).
 LATENT, VOTERS, SAMPLE = 48, 25, 1000
+#: Rows of the fitted sample whose norms are taken at a time.
+ROWS = 64
 
 
 def _classes() -> np.ndarray:
@@ -67,6 +70,23 @@ def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         yield s.lo, out
 
 
+def packed(row: np.ndarray) -> bytes:
+    """A row of features in half floats: the places that aren't zero and their values, or all values if that is shorter."""
+    row = row.astype(np.float16)
+    at = np.flatnonzero(row)
+    return row.tobytes() if 2 * len(at) >= DIMS else at.astype(np.uint16).tobytes() + row[at].tobytes()
+
+
+def unpack(raw: bytes | pa.Buffer, out: np.ndarray) -> None:
+    """Fill ``out``, a row of zeros, from ``packed``."""
+    half = np.frombuffer(raw, np.float16)
+    if len(half) == DIMS:
+        out[:] = half
+    else:
+        n = len(half) // 2
+        out[half[:n].view(np.uint16)] = half[n:]
+
+
 @dataclass
 class Model:
     """Weights of features, the latent basis, and the labelled vectors: at most 2 * SAMPLE by LATENT numbers."""
@@ -101,12 +121,15 @@ class Model:
 
 
 def fit(rows: np.ndarray, labels: np.ndarray, prior: float) -> Model:
-    """``prior``: the share of label 1 among all labelled rows. No rows give a model that answers the prior."""
+    """``prior``: the share of label 1 among all labelled rows. No rows give a model that answers the prior.
+
+    Beside ``rows`` one array of their shape is held at a time, in single precision."""
     if not len(rows):
         return Model(np.zeros(DIMS, np.float32), np.zeros((DIMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), prior)
     weights = np.log1p(len(rows) / (1 + (rows > 0).sum(0))).astype(np.float32)
     x = rows * weights
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    for lo in range(0, len(x), ROWS):
+        x[lo : lo + ROWS] /= np.maximum(np.linalg.norm(x[lo : lo + ROWS], axis=1, keepdims=True), 1e-9)
     rng = np.random.default_rng(7)
     k = min(LATENT, len(x))
     y = x @ rng.standard_normal((DIMS, k + 8)).astype(np.float32)  # the range of x, by power iteration
@@ -115,6 +138,7 @@ def fit(rows: np.ndarray, labels: np.ndarray, prior: float) -> Model:
         y = x @ (x.T @ q)
     q, _ = np.linalg.qr(y)
     _, _, vt = np.linalg.svd(q.T @ x, full_matrices=False)
+    del x
     basis = np.ascontiguousarray(vt[:k].T)
     model = Model(weights, basis, np.zeros((0, k), np.float32), labels.astype(np.float64), prior)
     model.vectors = model.latent(rows)
@@ -129,7 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` rows of either label, chosen by a hash of doc_id among those that are not held out. A
     doc_id with both labels counts as label 0.
 
-    Features are worked out where the texts are; the driver gets at most 2 * sample rows of DIMS half floats.
+    Features are worked out where the texts are; the driver gets at most 2 * sample rows of DIMS half floats, packed,
+    and unpacks them into one array of half floats.
     """
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n, ones = known.agg(F.count("*"), F.coalesce(F.sum("quality"), F.lit(0))).first()
@@ -140,13 +165,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for batch in batches:
             for lo, rows in features(batch.column("text")):
                 piece = batch.slice(lo, len(rows))
-                made = pa.array([x.tobytes() for x in rows.astype(np.float16)], pa.binary())
+                made = pa.array([packed(x) for x in rows], pa.binary())
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("quality"), made], ["doc_id", "quality", "features"])
 
     rows = chosen.select(F.col("doc_id").cast("long"), "text", "quality").mapInArrow(run, "doc_id long, quality int, features binary").toArrow()
-    rows = rows.sort_by("doc_id")
-    x = np.frombuffer(b"".join(rows.column("features").to_pylist()), np.float16).reshape(-1, DIMS).astype(np.float32)
-    return fit(x, np.array(rows.column("quality").to_pylist(), np.float64), ones / n if n else 0.5)
+    release(docs.sparkSession)  # what the JVM held for these jobs goes before the arrays of the fit come
+    order = pc.sort_indices(rows, [("doc_id", "ascending")])
+    quality = rows.column("quality").take(order).to_numpy().astype(np.float64)
+    x = np.zeros((len(order), DIMS), np.float16)
+    for i, at in enumerate(order.to_pylist()):
+        unpack(rows.column("features")[at].as_buffer(), x[i])
+    del rows
+    return fit(x, quality, ones / n if n else 0.5)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -610,6 +610,42 @@ def test_model_ignores_held_out_labels(spark):
     assert np.array_equal(a.vectors, b.vectors) and np.array_equal(a.labels, b.labels)
 
 
+def test_training_holds_few_copies_of_its_sample(spark):
+    import tracemalloc
+
+    from quarrymill.llm.quality import DIMS, train
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"{'good' if i % 2 else 'BAD!'}{rng.randrange(300)}" for _ in range(40)), i % 2) for i in range(800)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(8).cache()
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int").cache()
+    assert df.count() == labels.count() == 800
+    tracemalloc.start()
+    try:
+        model = train(df, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(model.vectors) > 600
+    assert peak < 2.5 * len(model.vectors) * DIMS * 4  # rows in half floats, once in floats, and small parts
+
+
+def test_features_are_packed_without_loss():
+    from quarrymill.llm.quality import DIMS, features, packed, unpack
+
+    rng = np.random.default_rng(2)
+    rows = [*np.concatenate([x for _, x in features(pa.array([*texts(), None], pa.string()))])]
+    for filled in (0, 1, DIMS // 2 - 1, DIMS // 2, DIMS // 2 + 1, DIMS):
+        row = np.zeros(DIMS, np.float32)
+        row[rng.permutation(DIMS)[:filled]] = rng.uniform(0.1, 9, filled)
+        rows.append(row)
+    rows.append(np.full(DIMS, 1e-9, np.float32))  # zeros as half floats
+    for row in rows:
+        raw, out = packed(row), np.zeros(DIMS, np.float16)
+        unpack(raw, out)
+        assert len(raw) <= 2 * DIMS and np.array_equal(out, row.astype(np.float16))
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as P
 
